@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm import copies, variants
+from lexweave.llm import copies, language, neardup, variants
 from lexweave.llm.common import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "bt_translations"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variant_pairs(table(spark, sf_dir, "bt_translations"), ["source_text", "translated_text"])
 
@@ -18,8 +22,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.later_copies(table(spark, sf_dir, "bt_translations"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_issues(table(spark, sf_dir, "bt_translations")).select("id", "field", "issue", "lang").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p6_found": p6_found}
+    return {"p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
