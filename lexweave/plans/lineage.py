@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
+from collections.abc import Callable
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,3 +33,9 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least one partition per core, so that one large file doesn't become one task."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(width(df.sparkSession))
+
+
+def shared(spark: SparkSession, value: object) -> Callable[[], Any]:
+    """``value`` broadcast once; the result returns it on an executor, where this package needn't be installed."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
