@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.forms import same_form
-from lexweave.plans.lineage import spread
+from lexweave.plans.lineage import shared, spread
 
 LANGS = ("de", "en", "es", "fr")
 # Further codes of the languages; regional forms such as de-DE keep their first part.
@@ -194,11 +194,11 @@ def language_issues(df: DataFrame, id_col: str = "id", sample: int = SAMPLE) ->
     others the language that codes them best. ``wrong``: the label names another language than the
     whole source text is in. ``mixed``: sentences in two languages, one row each. Null texts have no issue.
     """
-    trees = df.sparkSession.sparkContext.broadcast(trained(df, sample))
+    trees = shared(df.sparkSession, trained(df, sample))
     source_bits, target_bits = label_bits(df, "source_lang"), label_bits(df, "target_lang")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(trees.value)
+        scorer = Scorer(trees())
         for pdf in batches:
             out = []
             source = scored([segments(t) if t and WORD.search(t) else [] for t in pdf["source"]], scorer)
