@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm import copies, language, neardup, variants
+from lexweave.llm import copies, language, leaks, neardup, quality, variants
 from lexweave.llm.common import table
 
 
@@ -26,8 +26,18 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_issues(table(spark, sf_dir, "bt_translations")).select("id", "field", "issue", "lang").distinct()
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.filter(found.exact_run >= leaks.SPAN).select("doc_id", "item_id")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = quality.document_kinds(table(spark, sf_dir, "documents"))
+    return kinds.filter(kinds.kind != "prose").select("doc_id", "kind").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found}
+    return {"p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
