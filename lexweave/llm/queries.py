@@ -6,14 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm import copies, language, leaks, neardup, quality, variants
+from lexweave.llm import breaks, copies, language, leaks, neardup, quality, residue, variants
 from lexweave.llm.common import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return breaks.cut_texts(table(spark, sf_dir, "bt_translations")).select("id").distinct()
+
+
+def p1_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return breaks.cut_share(table(spark, sf_dir, "bt_translations"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "bt_translations"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_rows(table(spark, sf_dir, "bt_translations"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variant_pairs(table(spark, sf_dir, "bt_translations"), ["source_text", "translated_text"])
 
@@ -37,7 +49,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p1_share": p1_share, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
