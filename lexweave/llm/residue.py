@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from lexweave.functions.forms import same_form
 from lexweave.llm.neardup import mixed
@@ -111,13 +112,13 @@ def placeholders(text: str) -> set[str]:
     return {re.sub(r"\s+", "", m) for m in PLACEHOLDER.findall(text)}
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def unfilled(source: pd.Series, target: pd.Series) -> pd.Series:
     """Whether the translation holds a placeholder that its source does not."""
     return pd.Series([bool(placeholders(t) - placeholders(s)) for s, t in zip(source, target, strict=True)], dtype=bool)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def discusses(source: pd.Series) -> pd.Series:
     """Whether the source itself carries a notice or filler."""
     return pd.Series([any(x in s for x in NOTICES) or any(x in s for x in FILLER) for s in source.str.lower()], dtype=bool)
