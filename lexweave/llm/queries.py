@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm import breaks, copies, language, leaks, neardup, quality, residue, variants
+from lexweave.llm import breaks, copies, language, leaks, neardup, pairs, quality, residue, variants
 from lexweave.llm.common import table
 
 
@@ -22,6 +22,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "bt_translations"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.pair_defects(table(spark, sf_dir, "bt_translations"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue_rows(table(spark, sf_dir, "bt_translations"))
 
@@ -49,7 +53,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_share": p1_share, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p1_share": p1_share, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ import re
 PLACEHOLDER = re.compile(
     r"\{\{[^{}]{0,60}\}\}|\$\{[^{}]{0,60}\}|\{%[^{}]{0,60}%\}|<%[^<>]{0,60}%>|<\?[^<>]{0,60}\?>|\[\[[^\[\]]{0,60}\]\]|@@[^@\n]{1,60}@@|##[^#\n]{1,40}##"
     r"|(?<!\w)%[A-Za-z_][\w.]{1,40}%|__\s*[A-Z]{2,8}\s*\d+\s*__|⟦[^⟦⟧]{0,40}⟧|%\d{1,2}\$[sd]|(?<![\w%])%[sd](?!\w)|\{[A-Za-z_][\w.]{0,40}\}|\{\d{1,2}\}"
-    r"|\[(?:your|ihr|ihre|hier|votre|su|insert|enter|company|title|titel|name|text|[A-Z]{3,} [A-Z ]{2,})[^\[\]]{0,40}\]"
+    r"|[<\[](?=[^<>\[\]]{3,40}[>\]])(?i:(?:[^\s<>\[\]]+ ){0,3}(?:your|insert|here|goes|votre|insérer|insertar|hier|einfügen|empresa|ihr|ihre|entreprise)\b(?: [^\s<>\[\]]+){0,3})[>\]]"
 )
 
 # Phrases of text that stands for nothing (lower case).
