@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm import breaks, copies, language, leaks, neardup, pairs, quality, residue, variants
+from lexweave.llm import breaks, copies, language, leaks, neardup, packing, pairs, quality, residue, variants
 from lexweave.llm.common import table
 
 
@@ -42,6 +42,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_issues(table(spark, sf_dir, "bt_translations")).select("id", "field", "issue", "lang").distinct()
 
 
+def p8_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.requests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "provider_limits"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill(p8_requests(spark, sf_dir), table(spark, sf_dir, "provider_limits"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.filter(found.exact_run >= leaks.SPAN).select("doc_id", "item_id")
@@ -53,7 +61,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_share": p1_share, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p1_share": p1_share, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_requests": p8_requests, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
