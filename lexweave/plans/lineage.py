@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 import tempfile
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -17,11 +18,23 @@ def keep(df: DataFrame) -> DataFrame:
     The folder is the cluster's ``spark.checkpoint.dir``. A folder of our own is taken only where
     that is unset, as in tests on one machine.
     """
-    spark = df.sparkSession
+    folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def folder(spark: SparkSession) -> str:
+    """The checkpoint folder, named where it isn't yet."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexweave-"))
-    return df.checkpoint(eager=True)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def keep_table(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table in the checkpoint folder, for wide rows that are read again by some columns."""
+    path = f"{folder(df.sparkSession)}/lexweave-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def width(spark: SparkSession) -> int:
