@@ -21,7 +21,7 @@ from pyspark.sql.types import BooleanType
 from lexweave.functions.forms import same_form
 from lexweave.llm.neardup import mixed
 from lexweave.llm.residue_terms import FILLER, LATIN, NOTICES, PLACEHOLDER
-from lexweave.plans.lineage import keep, spread
+from lexweave.plans.lineage import keep, keep_table, spread
 
 BLOCKS, BLOCK_BITS, MOST_BITS = 4, 16, 3
 SIMILAR = 0.8
@@ -91,13 +91,15 @@ def residue_segments(df: DataFrame, text: str = "translated_text") -> DataFrame:
     """``seg_key`` of the segments that are residue by their own words or as near-duplicates of such."""
     # Identical segments are one; the fingerprints are written once, as every round reads them.
     one = segments(df, text).groupBy("seg_key").agg(F.min("masked").alias("masked"))
-    prints = keep(spread(one).mapInPandas(_fingerprints, "seg_key long, masked string, print long, trusted boolean"))
+    prints = keep_table(spread(one).mapInPandas(_fingerprints, "seg_key long, masked string, print long, trusted boolean"))
     found = frontier = keep(prints.filter("trusted").select("seg_key", "masked", "print"))
     rest = prints.filter(~F.col("trusted")).select("seg_key", "masked", "print")
     tokens = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+|#"), F.lit(0)))
     for _ in range(MOST_ROUNDS):
-        a = blocks(frontier).select(F.col("masked").alias("known"), F.col("print").alias("known_print"), "block")
-        pairs = blocks(rest).join(a, "block").filter(F.bit_count(F.col("print").bitwiseXOR(F.col("known_print"))) <= MOST_BITS)
+        # Only keys and fingerprints are exploded by block; the texts join the few pairs that are left.
+        a = blocks(frontier.select("seg_key", "print")).select(F.col("seg_key").alias("known_key"), F.col("print").alias("known_print"), "block")
+        close = blocks(rest.select("seg_key", "print")).join(a, "block").filter(F.bit_count(F.col("print").bitwiseXOR(F.col("known_print"))) <= MOST_BITS).select("seg_key", "known_key").distinct()
+        pairs = rest.join(close, "seg_key").join(frontier.select(F.col("seg_key").alias("known_key"), F.col("masked").alias("known")), "known_key")
         x, y = tokens(F.col("masked")), tokens(F.col("known"))
         shared_ = F.size(F.array_intersect(x, y))
         near = pairs.filter(shared_ >= SIMILAR * (F.size(x) + F.size(y) - shared_)).select("seg_key", "masked", "print").distinct()
