@@ -309,7 +309,7 @@ def polish(source: Column, translated: Column) -> Column:
 
 def line_list(t: Column) -> Column:
     """Lines of a setting, without blanks, comments and repeats, longest first."""
-    lines = F.filter(F.transform(F.split(t, r"\r\n|\n|\r"), trim_ws), lambda x: (x != "") & ~x.startswith("#"))
+    lines = F.filter(F.transform(F.split(t, r"\r\n|\n|\r"), lambda x: trim_ws(x)), lambda x: (x != "") & ~x.startswith("#"))
     return F.array_sort(lines, lambda a, b: F.length(b) - F.length(a))
 
 
