@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexweave.functions import forms
 from lexweave.llm import breaks, copies, language, leaks, neardup, packing, pairs, quality, residue, variants
 from lexweave.llm.common import table
 
@@ -64,5 +65,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p1_found": p1_found, "p1_share": p1_share, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_requests": p8_requests, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found}
 
 
+def sql_form(text: str) -> str:
+    """The plain form of a text in SQL."""
+    matching, plain = forms.fold_table()
+    for a, b in forms.LIGATURES.items():
+        text = f"replace({text}, {literal(a)}, {literal(b)})"
+    return f"nfc_normalize(translate({text}, {literal(matching)}, {literal(plain)}))"
+
+
+def literal(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def sql_words(text: str) -> str:
+    return f"regexp_extract_all(lower({sql_form(text)}), {literal(forms.WORD)})"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    pair = "coalesce(source_lang, chr(1)) AS a, coalesce(target_lang, chr(1)) AS b"
+    one = lambda f: f"SELECT id, {pair}, '{f}' AS field, {f} AS text, {sql_form(f)} AS form FROM bt_translations WHERE {f} IS NOT NULL"
+    p5 = f"WITH f AS ({one('source_text')} UNION ALL {one('translated_text')}) SELECT DISTINCT x.id AS id_a, y.id AS id_b, x.field FROM f x JOIN f y ON x.a = y.a AND x.b = y.b AND x.field = y.field AND x.form = y.form AND x.text <> y.text AND x.id < y.id"
+    runs = lambda table, key: f"SELECT DISTINCT {key}, array_to_string(w[i:i + 7], ' ') AS run FROM (SELECT {key}, {sql_words('text')} AS w FROM {table}), unnest(range(1, len(w) + 1)) u(i) WHERE i + 7 <= len(w)"
+    p9 = f"SELECT DISTINCT doc_id, item_id FROM ({runs('documents', 'doc_id')}) d JOIN ({runs('benchmark', 'item_id')}) b USING (run)"
+    return {"p5_found": p5, "p9_found": p9}
