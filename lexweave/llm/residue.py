@@ -21,7 +21,7 @@ from pyspark.sql.types import BooleanType
 from lexweave.functions.forms import same_form
 from lexweave.llm.neardup import mixed
 from lexweave.llm.residue_terms import FILLER, LATIN, NOTICES, PLACEHOLDER
-from lexweave.plans.lineage import keep, keep_table, spread
+from lexweave.plans.lineage import keep, keep_table
 
 BLOCKS, BLOCK_BITS, MOST_BITS = 4, 16, 3
 SIMILAR = 0.8
@@ -91,7 +91,7 @@ def residue_segments(df: DataFrame, text: str = "translated_text") -> DataFrame:
     """``seg_key`` of the segments that are residue by their own words or as near-duplicates of such."""
     # Identical segments are one; the fingerprints are written once, as every round reads them.
     one = segments(df, text).groupBy("seg_key").agg(F.min("masked").alias("masked"))
-    prints = keep_table(spread(one).mapInPandas(_fingerprints, "seg_key long, masked string, print long, trusted boolean"))
+    prints = keep_table(one.mapInPandas(_fingerprints, "seg_key long, masked string, print long, trusted boolean"))
     found = frontier = keep(prints.filter("trusted").select("seg_key", "masked", "print"))
     rest = prints.filter(~F.col("trusted")).select("seg_key", "masked", "print")
     tokens = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+|#"), F.lit(0)))

@@ -132,5 +132,5 @@ def test_quality(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(own, "doc_id long, text string")).withColumn("kind", F.lit(1))
     got = {r.doc_id: r for r in quality.document_kinds(docs).collect()}
     assert [got[-i].kind for i in range(1, 7)] == ["list", "table", "junk", "prose", "prose", "prose"]
-    assert got[-4].word_count == 23 and got[-5].word_count == 0 and got[-4].ended_lines == 1
+    assert got[-4].word_count == 24 and got[-5].word_count == 0 and got[-4].ended_lines == 1
     assert quality.document_kinds(docs.limit(0)).count() == 0
