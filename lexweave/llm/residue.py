@@ -134,6 +134,7 @@ def residue_rows(df: DataFrame, id_col: str = "id") -> DataFrame:
     """
     source = F.coalesce(F.col("source_text"), F.lit(""))
     marked = df.filter(F.col("translated_text").rlike(r"[{}$%<>\[\]@_⟦#]")).select(F.col(id_col).alias("id"), source.alias("s"), F.col("translated_text").alias("t")).filter(unfilled("s", "t")).select("id")
-    labelled = segments(df, "translated_text", F.col(id_col).alias("id"), source.alias("s")).join(residue_segments(df), "seg_key", "left_semi").select("id", "s").distinct()
-    noticed = labelled.filter(~discusses("s")).select("id")
+    labelled = segments(df, "translated_text", F.col(id_col).alias("id")).select("id", "seg_key").join(residue_segments(df), "seg_key", "left_semi").select("id").distinct()
+    # Few rows are left; only they fetch their source.
+    noticed = df.select(F.col(id_col).alias("id"), source.alias("s")).join(labelled, "id", "left_semi").filter(~discusses("s")).select("id")
     return marked.unionByName(noticed).distinct()
