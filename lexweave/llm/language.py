@@ -108,7 +108,7 @@ class Scorer:
     def of(self, words: list[str]) -> np.ndarray:
         if len(self.cache) > MOST_CACHED:
             self.cache.clear()
-        unique, which = np.unique(np.array(words, dtype=object), return_inverse=True)
+        which, unique = pd.factorize(np.array(words, dtype=object))
         rows = []
         for w in unique:
             row = self.cache.get(w)

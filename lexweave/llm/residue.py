@@ -10,6 +10,7 @@ mark their own row only, since the sentence around them is a good one.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,26 +53,35 @@ def trusted(masked: str) -> bool:
 
 def simhash(texts: list[str]) -> np.ndarray:
     """64-bit SimHash of the words and word pairs of each text."""
-    parts, lengths = [], []
-    for t in texts:
-        w = _WORDS.findall(t) or [t]
-        parts += w
-        parts += [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
-        lengths.append(2 * len(w) - 1)
-    unique, which = np.unique(np.array(parts, object), return_inverse=True)
-    base = np.array([hash_text(x) for x in unique], np.uint64)
-    bits = np.unpackbits(mixed(base).view(np.uint8).reshape(-1, 8), axis=1).astype(np.int16) * 2 - 1
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-    out = np.concatenate([np.add.reduceat(bits[which[lo:hi]], starts[i : i + 4096] - lo, axis=0) for i in range(0, len(texts), 4096) for lo, hi in [(starts[i], starts[i + 4096] if i + 4096 < len(starts) else len(which))]])
+    words = [_WORDS.findall(t) or [t] for t in texts]
+    counts = np.array([len(w) for w in words])
+    which, unique = pd.factorize(np.array([x for w in words for x in w], object))
+    h = mixed(np.array([hash_text(x) for x in unique], np.uint64))[which]
+    ends = np.cumsum(counts)
+    starts = ends - counts
+    pairs = mixed(h[:-1] * np.uint64(3) + h[1:]) if len(h) > 1 else np.zeros(0, np.uint64)
+    out = np.empty((len(texts), 64), np.int32)
+    for i in range(0, len(texts), 4096):
+        lo, hi, at = starts[i], ends[min(i + 4096, len(texts)) - 1], starts[i : i + 4096]
+        votes = np.add.reduceat(signs(h[lo:hi]), at - lo, axis=0)
+        if hi - lo > 1:
+            p = signs(pairs[lo : hi - 1])
+            p[(ends[i : i + 4096] - 1 - lo)[:-1]] = 0  # a pair across two texts is none
+            p = np.concatenate([p, np.zeros((1, 64), np.int16)])
+            votes = votes + np.add.reduceat(p, at - lo, axis=0)
+        out[i : i + 4096] = votes
     return np.packbits(out > 0, axis=1).view(np.uint64).ravel()
 
 
+def signs(h: np.ndarray) -> np.ndarray:
+    """1 or -1 for each bit of each hash."""
+    return np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8), axis=1).astype(np.int16) * 2 - 1
+
+
 def hash_text(x: str) -> int:
-    """FNV-1a of the UTF-8 bytes; the same in every process."""
-    h = 0xCBF29CE484222325
-    for b in x.encode():
-        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return h
+    """64 bits of a word from two checksums; the same in every process."""
+    data = x.encode()
+    return zlib.crc32(data) << 32 | zlib.adler32(data, len(data))
 
 
 def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
