@@ -34,7 +34,10 @@ _WORDS = re.compile(r"[^\W_]+|#")
 
 def segment_key(segment: Column) -> Column:
     """Lower case plain form, every token with a digit one sign, blanks collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(same_form(segment)), r"(?<![\p{L}\p{N}])[0-9a-f]*\d[0-9a-z]*", "#"), r"\s+", " "))
+    low = F.lower(same_form(segment))
+    # Most segments hold neither digits nor runs of blanks; a cheap search spares them the replacements.
+    masked = F.when(low.rlike("[0-9]"), F.regexp_replace(low, r"(?<![\p{L}\p{N}])[0-9a-f]*\d[0-9a-z]*", "#")).otherwise(low)
+    return F.trim(F.when(masked.rlike(r"[\t\f\x0B]| {2}"), F.regexp_replace(masked, r"\s+", " ")).otherwise(masked))
 
 
 def segments(df: DataFrame, text: str, *keep_columns: Column) -> DataFrame:
