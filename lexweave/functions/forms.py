@@ -8,6 +8,7 @@ case, ordinary blanks, punctuation, ``0``/``O``, ``1``/``l`` and ``a``/``ä`` st
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import cache
 
@@ -67,7 +68,9 @@ def fold_lookalikes(text: Column) -> Column:
 
 def compose(text: Column) -> Column:
     """``text`` with letters and combining marks brought together; only texts that hold a mark pay for it."""
-    table = F.array(*[F.struct(F.lit(a).alias("parts"), F.lit(b).alias("one")) for a, b in compositions()])
+    # One literal, which the optimizer folds, in place of hundreds of expressions.
+    pairs = json.dumps([{"parts": a, "one": b} for a, b in compositions()])
+    table = F.from_json(F.lit(pairs), "array<struct<parts:string,one:string>>")
     whole = F.aggregate(table, text, lambda t, p: F.replace(t, p["parts"], p["one"]))
     return F.when(text.rlike("[̀-ͯ]"), whole).otherwise(text)
 
