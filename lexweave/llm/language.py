@@ -30,6 +30,8 @@ AMONG = 50_000
 ORDER = 4
 #: Bits by which a text or sentence must favour another language, and by which a language must be ahead.
 CLEAR_BITS, SENTENCE_BITS = 16.0, 20.0
+#: Words without digits that a text needs before its label is called wrong; codes and names tell no language.
+LEAST_WORDS = 3
 MOST_CACHED = 200_000
 #: Texts shorter than this teach nothing.
 SHORTEST = 12
@@ -203,7 +205,7 @@ def language_issues(df: DataFrame, id_col: str = "id", sample: int = SAMPLE) ->
             out = []
             source = scored([segments(t) if t and WORD.search(t) else [] for t in pdf["source"]], scorer)
             target = scored([[t] if t and WORD.search(t) else [] for t in pdf["target"]], scorer)
-            for i, label, has_s, has_t, m, t in zip(pdf["id"], pdf["label"], pdf["has_source"], pdf["has_target"], source, target, strict=True):
+            for i, label, has_s, has_t, text, m, t in zip(pdf["id"], pdf["label"], pdf["has_source"], pdf["has_target"], pdf["source"], source, target, strict=True):
                 total = m.sum(0)
                 if len(m):
                     lang, sure = judged(total + source_bits)
@@ -212,7 +214,7 @@ def language_issues(df: DataFrame, id_col: str = "id", sample: int = SAMPLE) ->
                         out.append((i, "source_lang", "mixed", x, float(1 - np.exp2(-SENTENCE_BITS))))
                     if not has_s:
                         out.append((i, "source_lang", "missing", lang, sure))
-                    elif not mix and label and lang != label and total[LANGS.index(label)] - total.min() >= CLEAR_BITS:
+                    elif not mix and label and lang != label and total[LANGS.index(label)] - total.min() >= CLEAR_BITS and sum(w.isalpha() for w in WORD.findall(text)) >= LEAST_WORDS:
                         out.append((i, "source_lang", "wrong", lang, sure))
                 if not has_t and len(t):
                     lang, sure = judged(t.sum(0) + target_bits)

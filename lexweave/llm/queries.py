@@ -39,6 +39,10 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.later_copies(table(spark, sf_dir, "bt_translations"))
 
 
+def p6_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies.copy_classes(table(spark, sf_dir, "bt_translations")).select("first_id", "copies")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_issues(table(spark, sf_dir, "bt_translations")).select("id", "field", "issue", "lang").distinct()
 
@@ -56,13 +60,17 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter(found.exact_run >= leaks.SPAN).select("doc_id", "item_id")
 
 
+def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.document_kinds(table(spark, sf_dir, "documents")).select("doc_id", "kind", *quality.STATISTICS)
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = quality.document_kinds(table(spark, sf_dir, "documents"))
     return kinds.filter(kinds.kind != "prose").select("doc_id", "kind").distinct()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_share": p1_share, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_requests": p8_requests, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p1_share": p1_share, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_copies": p6_copies, "p7_found": p7_found, "p8_requests": p8_requests, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found, "p10_stats": p10_stats}
 
 
 def sql_form(text: str) -> str:
