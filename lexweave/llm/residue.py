@@ -1,8 +1,9 @@
 """Problem 4: placeholders, filler and error pages in place of translations.
 
-Method: the segments of all translations, with digits masked, become SimHash fingerprints. Starting
-at segments that bear a trusted residue label, partitioned tables (four blocks of sixteen bits)
-propose near-duplicates, Hamming distance and text similarity verify them, and the label spreads
+Method: labels spread among the segments of all translations, with digits masked. Starting at
+segments that bear a trusted residue label, every segment most of whose words labelled segments hold
+is held against all labelled ones of about its size: the Hamming distance of the SimHash fingerprints
+of their words drops the unlike ones, the words themselves decide, and the label spreads
 until the connected components are exhausted. Unfilled placeholders inside a translated sentence
 mark their own row only, since the sentence around them is a good one.
 """
@@ -11,7 +12,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,10 +24,14 @@ from pyspark.sql.types import BooleanType
 from lexweave.functions.forms import same_form
 from lexweave.llm.neardup import mixed
 from lexweave.llm.residue_terms import FILLER, LATIN, NOTICES, PLACEHOLDER
-from lexweave.plans.lineage import keep, keep_table
-
-BLOCKS, BLOCK_BITS, MOST_BITS = 4, 16, 3
-SIMILAR = 0.8
+from lexweave.plans.lineage import keep, keep_table, shared
+
+#: Share of the words of both that near-duplicates have in common.
+NUM, DEN = 4, 5
+#: Bits of 64 by which near-duplicates may differ; at that share they differ by 8 to 12 on average and by 27 at most in 70,000 tries.
+MOST_BITS = 28
+#: Labelled segments that are sent to the executors at a time.
+MOST_SENT = 100_000
 #: More rounds than any chain of near-duplicates of a notice has needed; reaching it raises an error.
 MOST_ROUNDS = 50
 
@@ -54,25 +60,17 @@ def trusted(masked: str) -> bool:
     return len(words) >= 4 and sum(w in LATIN for w in words) >= 0.6 * len(words)
 
 
-def simhash(texts: list[str]) -> np.ndarray:
-    """64-bit SimHash of the words and word pairs of each text."""
-    words = [_WORDS.findall(t) or [t] for t in texts]
-    counts = np.array([len(w) for w in words])
-    which, unique = pd.factorize(np.array([x for w in words for x in w], object))
+def simhash(sets: list[list[str]]) -> np.ndarray:
+    """64-bit SimHash of each list of distinct words, none empty; their order doesn't count."""
+    counts = np.array([len(w) for w in sets])
+    which, unique = pd.factorize(np.array([x for w in sets for x in w], object))
     h = mixed(np.array([hash_text(x) for x in unique], np.uint64))[which]
     ends = np.cumsum(counts)
     starts = ends - counts
-    pairs = mixed(h[:-1] * np.uint64(3) + h[1:]) if len(h) > 1 else np.zeros(0, np.uint64)
-    out = np.empty((len(texts), 64), np.int32)
-    for i in range(0, len(texts), 4096):
-        lo, hi, at = starts[i], ends[min(i + 4096, len(texts)) - 1], starts[i : i + 4096]
-        votes = np.add.reduceat(signs(h[lo:hi]), at - lo, axis=0)
-        if hi - lo > 1:
-            p = signs(pairs[lo : hi - 1])
-            p[(ends[i : i + 4096] - 1 - lo)[:-1]] = 0  # a pair across two texts is none
-            p = np.concatenate([p, np.zeros((1, 64), np.int16)])
-            votes = votes + np.add.reduceat(p, at - lo, axis=0)
-        out[i : i + 4096] = votes
+    out = np.empty((len(sets), 64), np.int32)
+    for i in range(0, len(sets), 4096):
+        lo, hi = starts[i], ends[min(i + 4096, len(sets)) - 1]
+        out[i : i + 4096] = np.add.reduceat(signs(h[lo:hi]), starts[i : i + 4096] - lo, axis=0)
     return np.packbits(out > 0, axis=1).view(np.uint64).ravel()
 
 
@@ -87,38 +85,71 @@ def hash_text(x: str) -> int:
     return zlib.crc32(data) << 32 | zlib.adler32(data, len(data))
 
 
-def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def word_set(masked: str) -> list[str]:
+    """Distinct words of a segment; one without any is its own word."""
+    return list(dict.fromkeys(_WORDS.findall(masked))) or [masked]
+
+
+class Known:
+    """Labelled segments by number of words, against which others are held."""
+
+    def __init__(self, texts: list[str]) -> None:
+        sets = sorted({frozenset(word_set(t)) for t in texts}, key=len)
+        self.sets, self.sizes = sets, np.array([len(x) for x in sets])
+        self.words = frozenset().union(*sets)
+        self.prints = simhash([list(x) for x in sets]) if sets else np.zeros(0, np.uint64)
+
+    def near(self, texts: list[str]) -> list[bool]:
+        """Whether each text shares four fifths of the words of both with a labelled one."""
+        out, own = [False] * len(texts), [word_set(t) for t in texts]
+        # Words that no labelled segment has count against each of them, so most texts need no fingerprint.
+        open_ = [i for i, w in enumerate(own) if DEN * sum(x in self.words for x in w) >= NUM * len(w)]
+        if not open_:
+            return out
+        for i, p in zip(open_, simhash([own[i] for i in open_]), strict=True):
+            n, w = len(own[i]), set(own[i])
+            lo, hi = np.searchsorted(self.sizes, -(-NUM * n // DEN)), np.searchsorted(self.sizes, DEN * n // NUM, "right")
+            for j in np.nonzero(np.bitwise_count(self.prints[lo:hi] ^ p) <= MOST_BITS)[0] + lo:
+                both = len(w & self.sets[j])
+                if DEN * both >= NUM * (n + len(self.sets[j]) - both):
+                    out[i] = True
+                    break
+        return out
+
+
+def _marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        if len(pdf):
-            texts = pdf["masked"].tolist()
-            yield pd.DataFrame({"seg_key": pdf["seg_key"], "masked": texts, "print": simhash(texts).view(np.int64), "trusted": [trusted(x) for x in texts]})
+        yield pdf.assign(trusted=[trusted(x) for x in pdf["masked"]])
+
+
+def near_segments(rest: DataFrame, frontier: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """``seg_key``, ``masked`` of the segments of ``rest`` that are near-duplicates of one of ``frontier``; all of it is sent, ``most`` at a time."""
+    parts = -(-frontier.count() // most)
+    near = []
+    for part in range(parts):
+        texts = [r.masked for r in frontier.filter(F.pmod("seg_key", F.lit(parts)) == part).select("masked").collect()]
+        known = shared(rest.sparkSession, texts)
 
+        def run(batches: Iterator[pd.DataFrame], known: Callable[[], list[str]] = known) -> Iterator[pd.DataFrame]:
+            held = Known(known())
+            for pdf in batches:
+                yield pdf[held.near(pdf["masked"].tolist())]
 
-def blocks(prints: DataFrame) -> DataFrame:
-    """``prints`` once for each block of bits, with ``block`` naming the table and its value."""
-    each = F.explode(F.array(*[F.shiftrightunsigned(F.col("print"), BLOCK_BITS * i).bitwiseAND(F.lit(2**BLOCK_BITS - 1)) * BLOCKS + i for i in range(BLOCKS)]))
-    return prints.select("*", each.alias("block"))
+        near.append(rest.mapInPandas(run, "seg_key long, masked string"))
+    return reduce(DataFrame.unionByName, near).distinct()
 
 
 def residue_segments(df: DataFrame, text: str = "translated_text") -> DataFrame:
     """``seg_key`` of the segments that are residue by their own words or as near-duplicates of such."""
-    # Identical segments are one; the fingerprints are written once, as every round reads them.
+    # Identical segments are one; they are written once, as every round reads them.
     one = segments(df, text).groupBy("seg_key").agg(F.min("masked").alias("masked"))
-    prints = keep_table(one.mapInPandas(_fingerprints, "seg_key long, masked string, print long, trusted boolean"))
-    found = frontier = keep(prints.filter("trusted").select("seg_key", "masked", "print"))
-    rest = prints.filter(~F.col("trusted")).select("seg_key", "masked", "print")
-    tokens = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+|#"), F.lit(0)))
+    marked = keep_table(one.mapInPandas(_marked, "seg_key long, masked string, trusted boolean"))
+    found = frontier = keep(marked.filter("trusted").select("seg_key", "masked"))
+    rest = marked.filter(~F.col("trusted")).select("seg_key", "masked")
     for _ in range(MOST_ROUNDS):
-        # Only keys and fingerprints are exploded by block; the texts join the few pairs that are left.
-        a = blocks(frontier.select("seg_key", "print")).select(F.col("seg_key").alias("known_key"), F.col("print").alias("known_print"), "block")
-        close = blocks(rest.select("seg_key", "print")).join(a, "block").filter(F.bit_count(F.col("print").bitwiseXOR(F.col("known_print"))) <= MOST_BITS).select("seg_key", "known_key").distinct()
-        pairs = rest.join(close, "seg_key").join(frontier.select(F.col("seg_key").alias("known_key"), F.col("masked").alias("known")), "known_key")
-        x, y = tokens(F.col("masked")), tokens(F.col("known"))
-        shared_ = F.size(F.array_intersect(x, y))
-        near = pairs.filter(shared_ >= SIMILAR * (F.size(x) + F.size(y) - shared_)).select("seg_key", "masked", "print").distinct()
-        frontier = keep(near.join(found, "seg_key", "left_anti"))
         if frontier.isEmpty():
             return found.select("seg_key")
+        frontier = keep(near_segments(rest, frontier).join(found.select("seg_key"), "seg_key", "left_anti"))
         found = keep(found.unionByName(frontier))
     raise RuntimeError(f"residue labels still spread after {MOST_ROUNDS} rounds")
 

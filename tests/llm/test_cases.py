@@ -78,6 +78,34 @@ def test_residue(memory):
     assert residue.residue_rows(memory(*rows).limit(0)).count() == 0
 
 
+def test_residue_spreads(memory):
+    notice = "access denied for this address until tomorrow at noon sharp"
+    chain = [notice.replace("sharp", "today"), notice.replace("sharp", "today").replace("denied", "closed"), notice.replace("sharp", "today").replace("denied", "closed").replace("noon", "nine")]
+    far = "access denied today because the lamp is dry in winter again"
+    rows = [(i, "Das Menü", t) for i, t in enumerate([notice, *chain, "sharp noon at tomorrow until address this for denied access", "the lamp is dry in winter and clean", far.replace("access denied", "entry closed")])]
+    df = memory(*rows)
+    assert {r.id for r in residue.residue_rows(df).collect()} == {0, 1, 2, 3, 4}
+    one = residue.segments(df, "translated_text").select("seg_key", "masked").distinct()
+    front = one.filter(F.col("masked").contains("access"))
+    assert {r.seg_key for r in residue.near_segments(one, front, most=1).collect()} == {r.seg_key for r in residue.near_segments(one, front).collect()}
+
+
+def test_residue_recall():
+    r = np.random.default_rng(5)
+    names = [f"w{i}" for i in range(60)]
+    lost = total = 0
+    for n in (4, 5, 8, 9, 10, 20, 30):
+        for _ in range(400):
+            a = list(r.choice(names, n, replace=False))
+            b = [x for x in names if x not in a][: max(1, n // 9)]
+            # a word more, a word changed, as many as the share allows
+            other = a + b[:1] if n < 9 else a[: n - len(b)] + b
+            assert 5 * len(set(a) & set(other)) >= 4 * len(set(a) | set(other))
+            lost += not residue.Known([" ".join(other)]).near([" ".join(a)])[0]
+            total += 1
+    assert lost == 0, (lost, total)
+
+
 def test_pairs(memory):
     rows = [(100 + i, DE.replace("Lampe", f"Lampe{i}"), EN) for i in range(40)]
     odd = [(1, DE, " ​"), (2, DE, "I'm sorry, but I can't translate this passage."), (3, DE, "Here you are: " + DE.upper()), (4, DE, FR), (5, DE, EN), (6, None, None), (7, DE, "{{name}}")]
