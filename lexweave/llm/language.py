@@ -9,6 +9,7 @@ reach back to the blank before a word, so each distinct word is coded once per t
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator, Mapping
 
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.functions.forms import same_form
+from lexweave.functions.forms import INVISIBLE, LIGATURES, fold_table, same_form
 from lexweave.plans.lineage import shared, spread
 
 LANGS = ("de", "en", "es", "fr")
@@ -30,6 +31,8 @@ AMONG = 50_000
 ORDER = 4
 #: Bits by which a text or sentence must favour another language, and by which a language must be ahead.
 CLEAR_BITS, SENTENCE_BITS = 16.0, 20.0
+#: Bits of each segment that do not count for a mixture.
+PART_BITS = 4.0
 #: Words without digits that a text needs before its label is called wrong; codes and names tell no language.
 LEAST_WORDS = 3
 MOST_CACHED = 200_000
@@ -120,9 +123,34 @@ class Scorer:
         return np.array(rows)[which]
 
 
-def segments(text: str) -> list[str]:
-    """Sentences and lines of a text."""
-    return [s for s in BREAK.split(text) if s and not s.isspace()]
+def spans(text: str) -> list[tuple[int, int]]:
+    """Where the sentences and lines of a text begin and end."""
+    at, out = 0, []
+    for m in BREAK.finditer(text):
+        out.append((at, m.start()))
+        at = m.end()
+    return [(i, j) for i, j in [*out, (at, len(text))] if text[i:j].strip()]
+
+
+def origins(text: str, plain: str) -> list[int]:
+    """For each place in the plain form, and its end, the place in ``text`` that it comes from."""
+    if text == plain:
+        return list(range(len(text) + 1))
+    odd, fold = fold_table()
+    table = {ord(c): fold[i] if i < len(fold) else "" for i, c in enumerate(odd)}
+    out: list[int] = []
+    i = 0
+    while i < len(text) and len(out) < len(plain):
+        j = i + 1
+        # A letter and the marks after it become one; what is invisible between them vanishes.
+        while j < len(text) and (unicodedata.combining(text[j]) or text[j] in INVISIBLE):
+            j += 1
+        folded = "".join(LIGATURES.get(c, c) for c in text[i:j].translate(table))
+        one = unicodedata.normalize("NFC", folded)
+        n = len(one) if plain.startswith(one, len(out)) else len(folded)
+        out += [i] * n
+        i = j
+    return [*out, *[len(text)] * (len(plain) + 1 - len(out))]
 
 
 def scored(texts: list[list[str]], scorer: Scorer) -> list[np.ndarray]:
@@ -169,16 +197,25 @@ def judged(bits: np.ndarray) -> tuple[str, float]:
 
 
 def mixture(m: np.ndarray) -> tuple[str, ...]:
-    """Languages that whole segments are clearly in, against every other, most bits first; one entry or none if not mixed."""
+    """Languages whose segments, each in it rather than in any other, together tell it clearly; one entry or none if not mixed.
+
+    The bits of a language add up over its segments; a segment that comes again adds nothing.
+    """
     if len(m) < 2:
         return ()
-    order = np.argsort(m, axis=1)
-    best = order[:, 0]
-    ahead = np.take_along_axis(m, order[:, 1:2], 1)[:, 0] - m.min(1)
-    clear = {LANGS[b] for b, a in zip(best, ahead, strict=True) if a >= SENTENCE_BITS}
+    clear = _clear(m)
+    if len(clear) > 1:
+        clear = _clear(np.unique(np.round(m, 6), axis=0))
     return tuple(sorted(clear)) if len(clear) > 1 else ()
 
 
+def _clear(m: np.ndarray) -> list[str]:
+    two = np.partition(m, 1, axis=1)
+    ahead = np.maximum(two[:, 1] - two[:, 0] - PART_BITS, 0)
+    sums = np.bincount(m.argmin(1), weights=ahead, minlength=len(LANGS))
+    return [LANGS[i] for i in np.nonzero(sums >= SENTENCE_BITS - PART_BITS)[0]]
+
+
 def label_bits(df: DataFrame, label: str) -> np.ndarray:
     """Code length of each language as a label of all rows, for texts that tell nothing themselves."""
     seen = {r.lang: r["n"] for r in df.groupBy(label_language(F.col(label)).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -186,48 +223,79 @@ def label_bits(df: DataFrame, label: str) -> np.ndarray:
     return -np.log2(counts / counts.sum())
 
 
-OUT = "id long, field string, issue string, lang string, confidence double"
-
+OUT = "id long, field string, segment int, begin int, end int, lang string, confidence double, issue string"
 
-def language_issues(df: DataFrame, id_col: str = "id", sample: int = SAMPLE) -> DataFrame:
-    """``id``, ``field``, ``issue`` (missing, wrong, mixed), ``lang``, ``confidence``.
 
-    ``missing``: the label is null, blank or names no language; texts without a word get no row, all
-    others the language that codes them best. ``wrong``: the label names another language than the
-    whole source text is in. ``mixed``: sentences in two languages, one row each. Null texts have no issue.
-    """
+def _languages(df: DataFrame, of: DataFrame, id_col: str, sample: int) -> DataFrame:
+    """Language rows of the texts of ``of`` by the labelled texts of ``df``, with the ``issue`` that a row tells of, if any."""
     trees = shared(df.sparkSession, trained(df, sample))
-    source_bits, target_bits = label_bits(df, "source_lang"), label_bits(df, "target_lang")
+    prior = {f: label_bits(df, f) for f in ("source_lang", "target_lang")}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(trees())
         for pdf in batches:
             out = []
-            source = scored([segments(t) if t and WORD.search(t) else [] for t in pdf["source"]], scorer)
-            target = scored([[t] if t and WORD.search(t) else [] for t in pdf["target"]], scorer)
-            for i, label, has_s, has_t, text, m, t in zip(pdf["id"], pdf["label"], pdf["has_source"], pdf["has_target"], pdf["source"], source, target, strict=True):
-                total = m.sum(0)
-                if len(m):
-                    lang, sure = judged(total + source_bits)
-                    mix = mixture(m)
-                    for x in mix:
-                        out.append((i, "source_lang", "mixed", x, float(1 - np.exp2(-SENTENCE_BITS))))
-                    if not has_s:
-                        out.append((i, "source_lang", "missing", lang, sure))
-                    elif not mix and label and lang != label and total[LANGS.index(label)] - total.min() >= CLEAR_BITS and sum(w.isalpha() for w in WORD.findall(text)) >= LEAST_WORDS:
-                        out.append((i, "source_lang", "wrong", lang, sure))
-                if not has_t and len(t):
-                    lang, sure = judged(t.sum(0) + target_bits)
-                    out.append((i, "target_lang", "missing", lang, sure))
-            yield pd.DataFrame(out, columns=["id", "field", "issue", "lang", "confidence"])
-
-    has_t = names_language(F.col("target_lang"))
-    rows = spread(df).select(
+            for field, raw, label, has in (("source_lang", "source_raw", "label", "has_source"), ("target_lang", "target_raw", None, "has_target")):
+                texts = pdf["source" if label else "target"]
+                cuts = [spans(t) if t is not None else [] for t in texts]
+                bits = scored([[t[i:j] for i, j in c] for t, c in zip(texts, cuts, strict=True)], scorer)
+                for i, told, named, original, t, c, m in zip(pdf["id"], pdf[label] if label else [None] * len(pdf), pdf[has], pdf[raw], texts, cuts, bits, strict=True):
+                    if t is not None:
+                        out += text_rows(i, field, told, named, original, t, c, m, prior[field])
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in OUT.split(", ")])
+
+    rows = spread(of).select(
         F.col(id_col).cast("long").alias("id"),
         label_language(F.col("source_lang")).alias("label"),
         names_language(F.col("source_lang")).alias("has_source"),
-        has_t.alias("has_target"),
+        names_language(F.col("target_lang")).alias("has_target"),
+        F.col("source_text").alias("source_raw"),
+        F.col("translated_text").alias("target_raw"),
         same_form(F.col("source_text")).alias("source"),
-        F.when(~has_t, same_form(F.col("translated_text"))).alias("target"),
+        same_form(F.col("translated_text")).alias("target"),
     )
     return rows.mapInPandas(run, OUT)
+
+
+def text_rows(i: int, field: str, label: str | None, named: bool, original: str, text: str, cuts: list[tuple[int, int]], m: np.ndarray, prior: np.ndarray) -> list[tuple]:
+    """The rows of one text in its plain form with code lengths ``m``: one for the whole, one for each segment."""
+    if not WORD.search(text):
+        return [(i, field, 0, 0, len(original), None, 0.0, None)]
+    total = m.sum(0)
+    lang, sure = judged(total + prior)
+    mix = mixture(m)
+    issue = None
+    if not named:
+        issue = "missing"
+    elif field == "source_lang" and not mix and label and lang != label and total[LANGS.index(label)] - total.min() >= CLEAR_BITS and sum(w.isalpha() for w in WORD.findall(text)) >= LEAST_WORDS:
+        issue = "wrong"
+    out = [(i, field, 0, 0, len(original), lang, sure, issue)]
+    at = origins(original, text) if original != text else range(len(text) + 1)
+    for k, ((begin, end), b) in enumerate(zip(cuts, m, strict=True), 1):
+        # A segment that tells nothing itself is in the language of its text.
+        own, own_sure = judged(b) if b.any() else (lang, sure)
+        out.append((i, field, k, at[begin], at[end], own, own_sure, "mixed" if field == "source_lang" and b.any() and own in mix else None))
+    return out
+
+
+def languages(df: DataFrame, id_col: str = "id", sample: int = SAMPLE) -> DataFrame:
+    """``id``, ``field``, ``segment``, ``begin``, ``end``, ``lang``, ``confidence``: the language of every text and of each of its sentences or lines.
+
+    Segment 0 is the whole text; ``begin`` and ``end`` are places in the text as it is stored.
+    A text without a word has no language, with confidence 0; null texts get no row.
+    """
+    return _languages(df, df, id_col, sample).drop("issue")
+
+
+def language_issues(df: DataFrame, id_col: str = "id", sample: int = SAMPLE) -> DataFrame:
+    """``id``, ``field``, ``issue`` (missing, wrong, mixed), ``lang``, ``confidence``, from the rows of ``languages``.
+
+    ``missing``: the label is null, blank or names no language; texts without a word get no row, all
+    others the language that codes them best. ``wrong``: the label names another language than the
+    whole source text is in. ``mixed``: sentences in two languages, one row each, as sure as the
+    surest of its sentences. Null texts have no issue.
+    """
+    # A translation whose label names a language has no issue, so it isn't scored here.
+    of = df.withColumn("translated_text", F.when(~names_language(F.col("target_lang")), F.col("translated_text")))
+    rows = _languages(df, of, id_col, sample).filter(F.col("issue").isNotNull())
+    return rows.groupBy("id", "field", "issue", "lang").agg(F.max("confidence").alias("confidence"))

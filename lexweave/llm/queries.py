@@ -47,6 +47,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_issues(table(spark, sf_dir, "bt_translations")).select("id", "field", "issue", "lang").distinct()
 
 
+def p7_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "bt_translations"))
+
+
 def p8_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.requests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "provider_limits"))
 
@@ -70,7 +74,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_share": p1_share, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_copies": p6_copies, "p7_found": p7_found, "p8_requests": p8_requests, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found, "p10_stats": p10_stats}
+    return {"p1_found": p1_found, "p1_share": p1_share, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_copies": p6_copies, "p7_found": p7_found, "p7_languages": p7_languages, "p8_requests": p8_requests, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found, "p10_stats": p10_stats}
 
 
 def sql_form(text: str) -> str:

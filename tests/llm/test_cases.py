@@ -129,6 +129,28 @@ def test_language(memory):
     assert language.language_issues(df.limit(0)).count() == 0
 
 
+def test_languages(memory):
+    rows = [memory(*[(1000 * k + i, t.replace(" ", f" x{i} ", 1), EN) for i in range(30)], source_lang=x) for k, (x, t) in enumerate((("de", DE), ("en", EN), ("fr", FR)), 1)]
+    raw = "Die Lampe ist im Wi\u200bnter tro\ufb01cken. La lampe est fragile en hiver."
+    df = memory((1, DE + " " + FR, EN), (2, raw, "12"), (3, None, "")).unionByName(rows[0]).unionByName(rows[1]).unionByName(rows[2])
+    got = {(r.id, r.field, r.segment): r for r in language.languages(df).collect()}
+    assert [got[1, "source_lang", k].lang for k in range(1, 7)] == ["de"] * 3 + ["fr"] * 3
+    assert all(0.25 <= r.confidence <= 1 for r in got.values() if r.lang) and len({r.confidence for r in got.values()}) > 2
+    assert [(1, "source_lang", k) in got for k in range(8)] == [True] * 7 + [False]
+    assert raw[got[2, "source_lang", 2].begin : got[2, "source_lang", 2].end] == "La lampe est fragile en hiver."
+    assert got[2, "target_lang", 0].lang == "en" and got[3, "target_lang", 0].lang is None and (3, "source_lang", 0) not in got
+    assert {i for i, f, k in got if f == "target_lang" and k == 0} == {r.id for r in df.collect()}
+    assert language.languages(df.limit(0)).count() == 0
+
+
+def test_mixture():
+    de, fr = [0.0, 40, 40, 40], [9.0, 40, 40, 0.0]
+    short = [[9.0 + i, 40, 40, 0.0] for i in range(5)]
+    assert language.mixture(np.array([de, *short])) == ("de", "fr")
+    assert language.mixture(np.array([de, *[fr] * 9])) == ()
+    assert language.mixture(np.array([de, [3.0, 40, 40, 0.0], [2.0, 40, 40, 0.0]])) == ()
+
+
 def test_leaks(spark):
     item = "one two three four five six seven eight nine ten"
     docs = spark.createDataFrame([(1, "x ONE, two three-four\nfive six seven eight y"), (2, "one two three four five six seven"), (3, None), (4, ""), (5, item.replace("four", "4")), (6, "w " * 20000 + item)], "doc_id long, text string").withColumn("t", F.lit(1))
