@@ -1,22 +1,25 @@
 """Problem 10: text statistics of documents, and the kind of text they tell.
 
-Method: a Gaussian mixture, fitted by expectation-maximization on the standardized statistics of a
-bounded sample. The components start at inspected examples and are mapped to the kind of the
+Method: a Gaussian mixture, fitted by expectation-maximization on the standardized statistics of all
+documents, whose moments are added up in every step. The components start at inspected examples and are mapped to the kind of the
 examples that fall to them. Among the kinds that a document's lines and
 words bear out, the one with the largest share in the mixture is its kind.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions.forms import same_form, words
-from lexweave.plans.lineage import shared, spread
+from lexweave.plans.lineage import keep_table, shared, spread
 
 ITEM = r"^\s*(?:[*•·▪‣◦→➤>+\-–—]|\(?\d{1,3}[.)]|\(?[^\W\d_][.)]|\[[ xX]?\])\s+\S"
 CELLS = r"\||\t|\S {2,}\S.*? {2,}\S|^[^;]*;[^;]*;|^[^,]*,\S?[^\s,]*,\S"
@@ -25,8 +28,6 @@ ENDED = r"[.!?…:][\"'»“”)\]]*\s*$"
 SHORT_WORDS = 7
 #: Words in at least this share of the documents are common, the most frequent ones up to a bound.
 COMMON_SHARE, MOST_COMMON = 0.002, 5000
-#: Documents, the first by hash, that the mixture is fitted on.
-SAMPLE = 10_000
 STEPS, FLOOR = 25, 0.02
 LINES = 2 / 3
 
@@ -106,36 +107,80 @@ def with_statistics(docs: DataFrame, common: list[str], text: str = "text") -> D
     return docs.withColumn("_m", measure(same_form(F.coalesce(F.col(text), F.lit(""))))).select("*", "_m.*").drop("_m")
 
 
+def _rows(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], 1)
+
+
+def summed(table: DataFrame, of: Callable[[np.ndarray], tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
+    """What ``of`` tells of each batch of the rows of ``table``, added up in every partition; one entry for each that has rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                part = of(_rows(batch))
+                total = part if total is None else tuple(x + y for x, y in zip(total, part, strict=True))
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], ["part"])
+
+    # Sorted, so that the order in which tasks end doesn't change the sums.
+    return [pickle.loads(x) for x in sorted(bytes(r.part) for r in table.mapInArrow(run, "part binary").collect())]
+
+
 class Mixture:
     """Gaussian mixture over standardized features; each component bears a kind."""
 
-    def __init__(self, x: np.ndarray, seeds: np.ndarray, kinds: list[str]) -> None:
-        self.mean, self.scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-        z, s = self.standard(x), self.standard(seeds)
-        width = np.eye(z.shape[1])
+    def __init__(self, table: DataFrame, seeds: np.ndarray, kinds: list[str]) -> None:
+        """Fitted to all rows of ``table`` and the seeds: each step adds up the moments of every component over the whole table."""
+        ends = lambda parts, own: tuple(sum(x) for x in zip(*parts, own, strict=True))
+        first = lambda x: (np.array(float(len(x))), x.sum(0))
+        n, total = ends(summed(table, first), first(seeds))
+        self.mean = mean = total / n
+        second = lambda x: (((x - mean) ** 2).sum(0),)
+        self.scale = np.maximum(np.sqrt(ends(summed(table, second), second(seeds))[0] / n), 1e-6)
+        s = self.standard(seeds)
+        width = np.eye(s.shape[1])
         self.means, self.shapes, self.weights = s.copy(), np.array([width] * len(s)), np.full(len(s), 1 / len(s))
         for _ in range(STEPS):
-            r = self.shares(z)
-            n = r.sum(0) + 1e-9
+            n, one, two = ends(summed(table, self.moments), self.moments(seeds))
+            n = n + 1e-9
             alive = n >= 2
             self.weights = np.maximum(n, 1e-6) / np.maximum(n, 1e-6).sum()
             for j in np.nonzero(alive)[0]:
-                self.means[j] = r[:, j] @ z / n[j]
-                d = z - self.means[j]
-                self.shapes[j] = (d * r[:, j : j + 1]).T @ d / n[j] + FLOOR * width
+                # The moments are taken about the mean of the step before, which is near.
+                d = one[j] / n[j]
+                c = np.empty_like(width)
+                c[np.triu_indices(len(width))] = two[j] / n[j]
+                c = np.triu(c) + np.triu(c, 1).T
+                self.means[j] = self.means[j] + d
+                self.shapes[j] = c - np.outer(d, d) + FLOOR * width
         votes = self.shares(s)
         self.kinds = [max(KINDS, key=lambda k: sum(v for v, x in zip(votes[:, j], kinds, strict=True) if x == k)) if votes[:, j].sum() > 1e-3 else kinds[int(((s - self.means[j]) ** 2).sum(1).argmin())] for j in range(len(s))]
 
     def standard(self, x: np.ndarray) -> np.ndarray:
         return (x - self.mean) / self.scale
 
+    def moments(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number, sum and sum of products of the rows in each component, by their shares, about its mean."""
+        z = self.standard(x)
+        r = self.shares(z)
+        i, k = np.triu_indices(z.shape[1])
+        one, two = np.empty((len(self.means), z.shape[1])), np.empty((len(self.means), len(i)))
+        for j, m in enumerate(self.means):
+            near = r[:, j] > 0
+            d = z[near] - m
+            w = r[near, j]
+            one[j] = w @ d
+            two[j] = ((d * w[:, None]).T @ d)[i, k]
+        return r.sum(0), one, two
+
     def shares(self, z: np.ndarray) -> np.ndarray:
         """Each component's share in each row."""
         logs = np.empty((len(z), len(self.means)))
         for j, (m, c) in enumerate(zip(self.means, self.shapes, strict=True)):
             low = np.linalg.cholesky(c)
-            y = np.linalg.solve(low, (z - m).T)
-            logs[:, j] = np.log(self.weights[j]) - np.log(np.diag(low)).sum() - 0.5 * (y**2).sum(0)
+            y = (z - m) @ np.linalg.inv(low).T
+            logs[:, j] = np.log(self.weights[j]) - np.log(np.diag(low)).sum() - 0.5 * np.einsum("ij,ij->i", y, y)
         logs -= logs.max(1, keepdims=True)
         p = np.exp(logs)
         return p / p.sum(1, keepdims=True)
@@ -146,12 +191,12 @@ class Mixture:
         return np.stack([p[:, [k == kind for k in self.kinds]].sum(1) for kind in KINDS], 1)
 
 
-def fitted(docs: DataFrame, spark: SparkSession, common: list[str], id_col: str, text: str, sample: int = SAMPLE) -> Mixture:
-    few = docs.orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(sample)
-    rows = np.array([list(r) for r in with_statistics(few, common, text).select(*FEATURES).collect()], float).reshape(-1, len(FEATURES))
+def fitted(stats: DataFrame, common: list[str]) -> Mixture:
+    """The mixture of all rows of ``stats`` and the examples."""
+    spark = stats.sparkSession
     shown = with_statistics(spark.createDataFrame([(t,) for _, t in EXAMPLES], "text string"), common).select(*FEATURES).collect()
     seeds = np.array([list(r) for r in shown], float)
-    return Mixture(np.concatenate([rows, seeds]), seeds, [k for k, _ in EXAMPLES])
+    return Mixture(stats.select(*FEATURES), seeds, [k for k, _ in EXAMPLES])
 
 
 def document_kinds(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -162,8 +207,9 @@ def document_kinds(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     common = common_words(docs, text)
     own = docs.select(F.col(id_col), F.col(text))
-    stats = with_statistics(spread(own), common, text)
-    model = shared(spark, fitted(own, spark, common, id_col, text))
+    # Written once: every step of the fit reads all rows.
+    stats = keep_table(with_statistics(spread(own), common, text).drop(text))
+    model = shared(spark, fitted(stats, common))
 
     @F.pandas_udf("array<double>")
     def judge(*columns: pd.Series) -> pd.Series:
@@ -180,4 +226,4 @@ def document_kinds(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     j = stats.withColumn("j", judge(*FEATURES))
     best = F.greatest(*[F.when(borne[k], F.struct(F.element_at("j", i + 1).alias("share"), F.lit(k).alias("kind"))) for i, k in enumerate(KINDS)])
     j = j.withColumn("best", F.when(F.col("line_count") > 0, best))
-    return j.withColumns({"kind": F.coalesce("best.kind", F.lit("prose")), "share": F.coalesce("best.share", F.lit(0.0))}).drop("j", "best", text)
+    return j.withColumns({"kind": F.coalesce("best.kind", F.lit("prose")), "share": F.coalesce("best.share", F.lit(0.0))}).drop("j", "best")

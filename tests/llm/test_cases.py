@@ -184,3 +184,24 @@ def test_quality(spark, data):
     assert [got[-i].kind for i in range(1, 7)] == ["list", "table", "junk", "prose", "prose", "prose"]
     assert got[-4].word_count == 24 and got[-5].word_count == 0 and got[-4].ended_lines == 1
     assert quality.document_kinds(docs.limit(0)).count() == 0
+
+
+def test_mixture_of_all_rows(spark):
+    r = np.random.default_rng(2)
+    x = np.concatenate([r.normal(0, 1, (9000, 10)), r.normal(4, 2, (3000, 10))])
+    table = spark.createDataFrame([tuple(map(float, v)) for v in x], ", ".join(f"{c} double" for c in quality.FEATURES)).repartition(5)
+    seeds = np.array([[0.0] * 10, [4.0] * 10])
+    got = quality.Mixture(table, seeds, ["prose", "junk"])
+    every = np.concatenate([x, seeds])
+    assert np.allclose(got.mean, every.mean(0)) and np.allclose(got.scale, every.std(0))
+    # the same steps in memory
+    z, means, shapes, weights = got.standard(every), got.standard(seeds), np.array([np.eye(10)] * 2), np.full(2, 0.5)
+    for _ in range(quality.STEPS):
+        logs = np.stack([np.log(w) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", z - m, np.linalg.inv(c), z - m) for w, m, c in zip(weights, means, shapes, strict=True)], 1)
+        p = np.exp(logs - logs.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        n = p.sum(0)
+        weights, means = n / n.sum(), p.T @ z / n[:, None]
+        shapes = np.array([((z - m) * p[:, j : j + 1]).T @ (z - m) / n[j] + quality.FLOOR * np.eye(10) for j, m in enumerate(means)])
+    assert np.allclose(got.means, means, atol=1e-6) and np.allclose(got.shapes, shapes, atol=1e-6) and np.allclose(got.weights, weights, atol=1e-6)
+    assert got.kinds == ["prose", "junk"]
