@@ -3,8 +3,8 @@
 Method: length histograms in characters and bytes, per provider; a spike is a length at which far
 more texts without terminal punctuation end than at the lengths around it. Texts cut in transfer
 end at any length, which no histogram shows, so the method alone can't list them: every text is
-also held against its source, for leftovers at the break and for a last sentence that no complete
-translation ends like.
+also held against its source, for leftovers at the break, for a last sentence that no complete
+translation ends like, and, by a stack of delimiters, for a bracket, quote or fence left open.
 """
 
 from __future__ import annotations
@@ -27,6 +27,10 @@ _LEFT = re.compile(r"(?:\s*(?:\[(?:\.\.\.|…)\]|\((?:\.\.\.|…)\)|…|\.\.\.+|
 _SENTENCE = re.compile(r"(?<=[.!?…])[\s\"'»“”’)]+")
 _WORD = re.compile(r"[^\W_]+")
 _EDGE = " \t\r\n\"'»«“”„’)(]>*;<"
+# Kinds of delimiters: brackets close what they name, quotes what any quote of their kind opened.
+_BRACKETS = {")": "(", "]": "[", "}": "{"}
+_DELIMITERS = re.compile(r"```|(?<![:;=])(?<![:;=]-)\(|[\[{)\]}«»„“”\"]")
+DELIMITED = r"[(\[{«»„“”\"]|```"
 #: Texts without an end at a length, against the mean of those around it, that make a spike.
 SPIKE_LEAST, SPIKE_TIMES, AROUND = 8, 4.0, 8
 #: Share of the length expected from its source under which a last sentence is too short.
@@ -61,6 +65,57 @@ def core(text: str) -> str:
     return text.strip(_EDGE)
 
 
+def open_delimiters(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+    """Delimiters that ``text`` leaves open, from the outermost, and all that it opens: kind, number among its kind, place.
+
+    Closing ones without an opening one, as in ``a)`` or ``5"``, count nothing; an opening one that an
+    outer pair closes over is none.
+    """
+    stack: list[tuple[str, int, int]] = []
+    opened: list[tuple[str, int, int]] = []
+    masked = PLACEHOLDER.sub(lambda m: "x" * len(m.group()), text)
+    for m in _DELIMITERS.finditer(masked):
+        x, at = m.group(), m.start()
+        if x in _BRACKETS:
+            kind, opens, closes = _BRACKETS[x], False, True
+        elif x in "([{":
+            kind, opens, closes = x, True, False
+        elif x == "```":
+            kind, opens, closes = x, True, True
+        else:
+            # A quote closes an open one; “ and the angles open or close by the language.
+            before = masked[at - 1] if at else " "
+            kind, closes = "quote", x != "„"
+            opens = x != "”" and (x != '"' or not before.isalnum() and masked[m.end() :][:1].strip() != "")
+        held = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == kind), None)
+        if closes and held is not None:
+            del stack[held:]
+        elif opens:
+            stack.append((kind, sum(k == kind for k, _, _ in opened), at))
+            opened.append(stack[-1])
+    return stack, opened
+
+
+def inside_delimiters(source: str, target: str) -> bool:
+    """Whether ``target`` stops inside a bracket, quote or fence that ``source`` opens too and closes."""
+    left, _ = open_delimiters(target)
+    if not left or not _WORD.search(target):
+        return False
+    unclosed, opened = open_delimiters(source)
+    theirs = {(kind, k): at for kind, k, at in opened}
+    low = target.lower()
+    if any(x in low for x in NOTICES) or any(x in low for x in REFUSALS):
+        return False
+    ended = _ENDED.search(target.rstrip())
+    for kind, k, at in left:
+        if (kind, k) in theirs and not any(x == kind for x, _, _ in unclosed):
+            # A text with an end of its own may just have lost the sign; it is cut where words are missing too.
+            rest, full = len(target.rstrip()) - at, len(source.rstrip()) - theirs[kind, k]
+            if not ended or rest < SHORT * full:
+                return True
+    return False
+
+
 def breaks_off(source: str, target: str, ends: frozenset[str], at_spike: bool) -> bool:
     """Whether ``target`` stops within a sentence although ``source`` is complete. ``ends``: usual last words of the language."""
     s, t = core(source), core(target)
@@ -119,16 +174,17 @@ def cut_texts(df: DataFrame, id_col: str = "id") -> DataFrame:
         ends, every, at = known()
         for pdf in batches:
             out = []
-            for i, p, lang, s, t, chars, octets in pdf.itertuples(index=False):
+            for i, p, lang, s, t, chars, octets, open_, delimited in pdf.itertuples(index=False):
                 spike = (p, "chars", chars) in at or (p, "bytes", octets) in at
-                if breaks_off(s, t, ends.get(lang, every), spike):
+                if open_ and breaks_off(s, t, ends.get(lang, every), spike) or delimited and inside_delimiters(s, t):
                     out.append((i, p, spike))
             yield pd.DataFrame(out, columns=["id", "source", "at_spike"])
 
     text, source = F.col("translated_text"), F.col("source_text")
-    rows = spread(df).filter(source.isNotNull() & text.isNotNull() & (~text.rlike(r"[^.][.!?][\s\"'»“”’)*]*$") | text.rlike(r"[\[&<�…-][^\s]{0,12}$")))
-    # a text with an end of its own needs no comparison
-    return rows.select(F.col(id_col).cast("long").alias("id"), F.coalesce("provider", F.lit("")).alias("source"), F.coalesce(F.lower(F.substring("target_lang", 1, 2)), F.lit("")), same_form(source), same_form(text), F.length(text), F.octet_length(text)).toDF("id", "source", "lang", "s", "t", "chars", "octets").mapInPandas(run, "id long, source string, at_spike boolean")
+    open_ = ~text.rlike(r"[^.][.!?][\s\"'»“”’)*]*$") | text.rlike(r"[\[&<�…-][^\s]{0,12}$")
+    rows = spread(df).filter(source.isNotNull() & text.isNotNull()).withColumns({"_open": open_, "_delimited": text.rlike(DELIMITED) & source.rlike(DELIMITED)})
+    # a text with an end of its own needs no comparison, unless a delimiter may be open there
+    return rows.filter("_open or _delimited").select(F.col(id_col).cast("long").alias("id"), F.coalesce("provider", F.lit("")).alias("source"), F.coalesce(F.lower(F.substring("target_lang", 1, 2)), F.lit("")), same_form(source), same_form(text), F.length(text), F.octet_length(text), "_open", "_delimited").toDF("id", "source", "lang", "s", "t", "chars", "octets", "open_", "delimited").mapInPandas(run, "id long, source string, at_spike boolean")
 
 
 def cut_share(df: DataFrame, id_col: str = "id") -> DataFrame:

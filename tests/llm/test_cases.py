@@ -65,6 +65,17 @@ def test_cut_texts(memory):
     assert breaks.cut_texts(df.limit(0)).count() == 0 and breaks.cut_share(df.limit(0)).count() == 0
 
 
+def test_open_delimiters(memory):
+    good = [(i, f"Die Lampe {i} ist im Winter trocken. Lies das Handbuch.", f"The lamp {i} is dry in winter. Read the manual.") for i in range(10, 40)]
+    source = "Die Lampe ist im Winter trocken (siehe das Handbuch)."
+    cut = [(1, source, "The lamp is dry in winter (see the manual"), (2, "Die Lampe ist im Winter trocken (siehe Abb. 3).", "The lamp is dry in winter (see fig."), (3, "Sie sagte: „Die Lampe ist im Winter trocken und neu.“", 'She said: "The lamp is dry.')]
+    whole = [(4, source, "The lamp is dry in winter (see the manual)."), (5, "Sie sagte: „Die Lampe ist trocken.“", 'She said: "The lamp is dry.'), (6, "a) Die Lampe ist 5\" breit.", "a) The lamp is 5\" wide."), (7, "Die Lampe ist neu :( und trocken.", "The lamp is new :( and dry."), (8, "Die Lampe (alt ist trocken.", "The lamp (old is dry."), (9, "Die Lampe (alt) ist [neu] „gut“.", "The lamp (old) is [new] “good”.")]
+    df = memory(*good, *cut, *whole)
+    assert {r.id for r in breaks.cut_texts(df).collect()} == {1, 2, 3}
+    assert breaks.open_delimiters("a (b [c) d {{e")[0] == [("{", 0, 11), ("{", 1, 12)]
+    assert breaks.open_delimiters("a ```b``` «c» »d« „e“ “f” ```g")[0] == [("```", 1, 26)]
+
+
 def test_spikes(memory):
     rows = [(i, "x", "y" * 160) for i in range(20)] + [(100 + i, "x", "z" * (100 + i) + ".") for i in range(100)]
     got = breaks.length_spikes(memory(*rows), F.col("provider"), F.col("translated_text")).collect()
