@@ -102,8 +102,10 @@ def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
 def radix_buckets(partial: DataFrame, most: int = BUCKET_ROWS, longest: int = 400) -> DataFrame:
     """``partial`` with ``bucket``: the shortest prefix of ``bytes`` that at most ``most`` rows share.
 
-    Equal strings stay together, so a bucket can only exceed ``most`` by the partial counts of one
-    string, of which every task wrote one. The prefixes to split are at most rows / ``most`` on a level.
+    Strings that share ``longest`` bytes and are still too many are dealt by the hash of the whole
+    string. Equal strings stay together, so a bucket can only exceed ``most`` by the partial counts
+    of one string, of which every task wrote one, or where a hash deals unevenly. The prefixes to
+    split are at most rows / ``most`` on a level.
     """
     depth = RADIX
     rows = partial.withColumn("bucket", F.substring("bytes", 1, depth))
@@ -114,6 +116,10 @@ def radix_buckets(partial: DataFrame, most: int = BUCKET_ROWS, longest: int = 40
             break
         depth += RADIX
         rows = rows.join(large, F.col("bucket") == F.col("large"), "left").withColumn("bucket", F.when(F.col("large").isNotNull(), F.substring("bytes", 1, depth)).otherwise(F.col("bucket"))).drop("large")
+    else:
+        sizes = rows.filter(F.length("bucket") >= depth).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select(F.col("bucket").alias("large"), F.ceil(2 * F.col("n") / most).alias("parts"))
+        part = F.encode(F.concat(F.lit("\x00"), F.pmod(F.xxhash64("bytes"), F.col("parts")).cast("string")), "utf-8")
+        rows = rows.join(sizes, F.col("bucket") == F.col("large"), "left").withColumn("bucket", F.when(F.col("large").isNotNull(), F.concat("bucket", part)).otherwise(F.col("bucket"))).drop("large", "parts")
     return rows
 
 

@@ -31,6 +31,14 @@ def test_copies(corpus, memory):
     assert copies.later_copies(df.limit(0)).count() == 0
 
 
+def test_copies_behind_one_beginning(spark):
+    rows = [(f"{'x' * 40} {i % 300}".encode(), 1, i) for i in range(600)]
+    df = spark.createDataFrame(rows, "bytes binary, copies long, first_id long")
+    got = copies.radix_buckets(df, most=100, longest=12).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert sum(r.n for r in got) == 600 and max(r.n for r in got) <= 100
+    assert copies.radix_buckets(df, most=100, longest=12).groupBy("bytes").agg(F.countDistinct("bucket").alias("n")).filter("n > 1").count() == 0
+
+
 def test_trie():
     t = copies.Trie()
     for k in (b"", b"abc", b"abc", b"a" * 12, b"a" * 24, b"a" * 25):
