@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.functions.forms import same_form
+from lexweave.llm.forms import same_form
 from lexweave.llm.residue_terms import NOTICES, PLACEHOLDER, REFUSALS
 from lexweave.plans.lineage import shared, spread
 

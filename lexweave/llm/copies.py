@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.functions.forms import WORD, same_form
+from lexweave.llm.forms import WORD, same_form
 from lexweave.llm.common import digest, lang_pair
 from lexweave.plans.lineage import keep
 

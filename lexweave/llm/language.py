@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.functions.forms import INVISIBLE, LIGATURES, fold_table, same_form
+from lexweave.llm.forms import INVISIBLE, LIGATURES, fold_table, same_form
 from lexweave.plans.lineage import shared, spread
 
 LANGS = ("de", "en", "es", "fr")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.functions.forms import words
+from lexweave.llm.forms import words
 from lexweave.plans.lineage import shared, spread
 
 SPAN = 8

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.functions.forms import same_form, words
+from lexweave.llm.forms import same_form, words
 from lexweave.plans.lineage import keep_table, shared, spread
 
 ITEM = r"^\s*(?:[*•·▪‣◦→➤>+\-–—]|\(?\d{1,3}[.)]|\(?[^\W\d_][.)]|\[[ xX]?\])\s+\S"

@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.functions import forms
-from lexweave.llm import breaks, copies, language, leaks, neardup, packing, pairs, quality, residue, variants
+from lexweave.llm import breaks, copies, forms, language, leaks, neardup, packing, pairs, quality, residue, variants
 from lexweave.llm.common import table
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from lexweave.functions.forms import same_form
+from lexweave.llm.forms import same_form
 from lexweave.llm.neardup import mixed
 from lexweave.llm.residue_terms import FILLER, LATIN, NOTICES, PLACEHOLDER
 from lexweave.plans.lineage import keep, keep_table, shared

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.functions.forms import odd_class, same_form
+from lexweave.llm.forms import odd_class, same_form
 from lexweave.llm.common import lang_pair, long_form
 
 COLLATION = "UNICODE"

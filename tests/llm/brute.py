@@ -4,7 +4,7 @@ import re
 import unicodedata
 from collections import defaultdict
 
-from lexweave.functions.forms import LIGATURES, fold_table
+from lexweave.llm.forms import LIGATURES, fold_table
 
 MATCH, PLAIN = fold_table()
 TABLE = {ord(c): (PLAIN[i] if i < len(PLAIN) else None) for i, c in enumerate(MATCH)}
