@@ -17,6 +17,8 @@ from lexweave.llm.forms import odd_class, same_form
 from lexweave.llm.common import lang_pair, long_form
 
 COLLATION = "UNICODE"
+#: What a reader sees of a text in its plain form; a text without it has no look.
+SEEN = r"[^ \t\n\r\f\x0B]"
 
 
 def variant_texts(df: DataFrame, fields: Sequence[str], id_col: str = "id") -> tuple[DataFrame, DataFrame]:
@@ -51,14 +53,25 @@ def variant_texts(df: DataFrame, fields: Sequence[str], id_col: str = "id") -> t
     return rows.select("id", "text_key"), joined
 
 
+def canonical_rows(df: DataFrame, fields: Sequence[str], id_col: str = "id") -> DataFrame:
+    """``id``, ``field``, ``canonical``: the canonical text of every row whose text has another look-alike.
+
+    Rows whose text is the only one of its look need none. Blank texts are a class of their own.
+    """
+    rows, texts = variant_texts(df, fields, id_col)
+    return texts.select("text_key", "field", "canonical").join(rows, "text_key").select("id", "field", "canonical").distinct()
+
+
 def variant_pairs(df: DataFrame, fields: Sequence[str], id_col: str = "id") -> DataFrame:
     """``id_a``, ``id_b``, ``field``: row pairs whose texts look the same and are unequal, smaller id first.
 
     Exact copies meet no row of their own text, so a text stored many times costs its pairs with
-    the other texts of the class and no more.
+    the other texts of the class and no more. Texts in which nothing is to be seen (blanks and
+    invisible characters) look like nothing and form no pair; ``canonical_rows`` holds them too.
     """
     rows, texts = variant_texts(df, fields, id_col)
-    members = texts.join(rows, "text_key").select("class_key", "pair", "field", "canonical", "text", "id")
+    seen = texts.filter(F.col("canonical").rlike(SEEN))
+    members = seen.join(rows, "text_key").select("class_key", "pair", "field", "canonical", "text", "id")
     a, b = members.alias("a"), members.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("class_key", "pair", "field", "canonical")]
     both = a.join(b, [*same, F.col("a.text") != F.col("b.text"), F.col("a.id") < F.col("b.id")])
