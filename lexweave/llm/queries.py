@@ -22,6 +22,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "bt_translations"))
 
 
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_links(table(spark, sf_dir, "bt_translations"))
+
+
+def p2_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_members(table(spark, sf_dir, "bt_translations"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.pair_defects(table(spark, sf_dir, "bt_translations"))
 
@@ -34,6 +42,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variant_pairs(table(spark, sf_dir, "bt_translations"), ["source_text", "translated_text"])
 
 
+def p5_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.canonical_rows(table(spark, sf_dir, "bt_translations"), ["source_text", "translated_text"])
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.later_copies(table(spark, sf_dir, "bt_translations"))
 
@@ -73,7 +85,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_share": p1_share, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_copies": p6_copies, "p7_found": p7_found, "p7_languages": p7_languages, "p8_requests": p8_requests, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found, "p10_stats": p10_stats}
+    return {"p1_found": p1_found, "p1_share": p1_share, "p2_found": p2_found, "p2_links": p2_links, "p2_members": p2_members, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_copies": p6_copies, "p7_found": p7_found, "p7_languages": p7_languages, "p8_requests": p8_requests, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found, "p10_stats": p10_stats}
 
 
 def sql_form(text: str) -> str:
@@ -95,7 +107,9 @@ def sql_words(text: str) -> str:
 def oracle_sql() -> dict[str, str]:
     pair = "coalesce(source_lang, chr(1)) AS a, coalesce(target_lang, chr(1)) AS b"
     one = lambda f: f"SELECT id, {pair}, '{f}' AS field, {f} AS text, {sql_form(f)} AS form FROM bt_translations WHERE {f} IS NOT NULL"
-    p5 = f"WITH f AS ({one('source_text')} UNION ALL {one('translated_text')}) SELECT DISTINCT x.id AS id_a, y.id AS id_b, x.field FROM f x JOIN f y ON x.a = y.a AND x.b = y.b AND x.field = y.field AND x.form = y.form AND x.text <> y.text AND x.id < y.id"
+    forms_ = f"WITH f AS ({one('source_text')} UNION ALL {one('translated_text')})"
+    p5 = f"{forms_} SELECT DISTINCT x.id AS id_a, y.id AS id_b, x.field FROM f x JOIN f y ON x.a = y.a AND x.b = y.b AND x.field = y.field AND x.form = y.form AND x.text <> y.text AND x.id < y.id WHERE regexp_matches(x.form, {literal(variants.SEEN)})"
+    p5_canonical = f"{forms_}, c AS (SELECT a, b, field, form FROM f GROUP BY ALL HAVING count(DISTINCT text) > 1) SELECT DISTINCT id, field, form AS canonical FROM f JOIN c USING (a, b, field, form)"
     runs = lambda table, key: f"SELECT DISTINCT {key}, array_to_string(w[i:i + 7], ' ') AS run FROM (SELECT {key}, {sql_words('text')} AS w FROM {table}), unnest(range(1, len(w) + 1)) u(i) WHERE i + 7 <= len(w)"
     p9 = f"SELECT DISTINCT doc_id, item_id FROM ({runs('documents', 'doc_id')}) d JOIN ({runs('benchmark', 'item_id')}) b USING (run)"
-    return {"p5_found": p5, "p9_found": p9}
+    return {"p5_found": p5, "p5_canonical": p5_canonical, "p9_found": p9}

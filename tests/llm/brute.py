@@ -29,7 +29,7 @@ def variants(rows, fields):
             if r[f] is not None:
                 by[r["source_lang"], r["target_lang"], form(r[f])].append(r)
         for group in by.values():
-            out |= {(min(a["id"], b["id"]), max(a["id"], b["id"]), f) for a in group for b in group if a[f] != b[f] and a["id"] != b["id"]}
+            out |= {(min(a["id"], b["id"]), max(a["id"], b["id"]), f) for a in group for b in group if a[f] != b[f] and a["id"] != b["id"] and form(a[f]).strip()}
     return out
 
 

@@ -22,6 +22,10 @@ def test_variants(corpus, memory):
     df = memory((5, "\u0410pfel", "a\u00a0b"), (3, "Apfel", "a b"), (4, "Apfel", None), (9, "A\u0308pfel", ""), (8, "\u00c4pfel", ""))
     got = {tuple(r) for r in variants.variant_pairs(df, ["source_text", "translated_text"]).collect()}
     assert got == {(3, 5, "source_text"), (4, 5, "source_text"), (8, 9, "source_text"), (3, 5, "translated_text")}
+    blank = memory((1, "", ""), (2, "\u200b", " "), (3, "", "\u00a0"), (4, None, None))
+    assert variants.variant_pairs(blank, ["source_text", "translated_text"]).count() == 0
+    assert {tuple(r) for r in variants.canonical_rows(blank, ["source_text", "translated_text"]).collect()} == {(1, "source_text", ""), (2, "source_text", ""), (3, "source_text", ""), (2, "translated_text", " "), (3, "translated_text", " ")}
+    assert {(r.id, r.canonical) for r in variants.canonical_rows(df, ["source_text"]).collect()} == {(3, "Apfel"), (4, "Apfel"), (5, "Apfel"), (8, "\u00c4pfel"), (9, "\u00c4pfel")}
 
 
 def test_copies(corpus, memory):
@@ -51,7 +55,10 @@ def test_near_duplicates(corpus):
     ids = [1, 4, *range(100, 130)]
     # one word more among nineteen; the long text holds the same words
     assert got == {(a, b) for a in ids for b in ids if a < b}
-    assert neardup.near_duplicates(corpus.limit(0)).count() == 0
+    # the same from the classes: rows 1 and 1 are one, each class has its smallest id
+    links, members = neardup.near_links(corpus), [tuple(r) for r in neardup.near_members(corpus).collect()]
+    assert {tuple(r) for r in links.collect()} == got and sorted(members) == [(i, i) for i in ids]
+    assert neardup.near_duplicates(corpus.limit(0)).count() == 0 and neardup.near_links(corpus.limit(0)).count() == 0
 
 
 def test_register_estimate():
