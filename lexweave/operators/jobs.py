@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.operators.memory import with_row_numbers
+from lexweave.plans.lineage import with_row_numbers
 
 BATCH = 15
 # Fields of a change event and the item type of each.

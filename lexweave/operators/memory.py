@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import segment_hash
+from lexweave.plans.lineage import with_row_numbers
 
 #: Case, accents, ellipsis forms and trailing blanks don't tell source texts apart.
 COLLATION = "UNICODE_CI_AI_RTRIM"
@@ -95,15 +96,6 @@ def upsert(memory: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
     return updated.unionByName(added)
 
 
-def with_row_numbers(df: DataFrame, order: str) -> DataFrame:
-    """``df`` with ``row_number`` from 1 in the order of a column, without bringing all rows to one task."""
-    ranged = df.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
-    inner = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
-    sizes = inner.groupBy("_p").agg(F.count(F.lit(1)).alias("_s"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return inner.join(before.select("_p", "_before"), "_p").withColumn("row_number", F.col("_before") + F.col("_i")).drop("_p", "_i", "_before")
-
-
 def confirmed(memory: DataFrame, ids: DataFrame) -> DataFrame:
     """The memory with the rows of ``ids.id`` confirmed and their previous source text cleared."""
     j = memory.join(ids.select("id", F.lit(True).alias("_hit")).distinct(), "id", "left")

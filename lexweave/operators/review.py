@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from lexweave.operators.memory import with_row_numbers
+from lexweave.plans.lineage import with_row_numbers
 
 SORTS = {"newest": ("updated_at", False), "oldest": ("updated_at", True), "shortest": ("length", True), "longest": ("length", False)}
 

@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import pickle
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
 from typing import Any
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def keep(df: DataFrame) -> DataFrame:
     """``df`` written once to the checkpoint folder that all executors share, its lineage cut.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. A folder of our own is taken only where
-    that is unset, as in tests on one machine.
+    The folder is the cluster's ``spark.checkpoint.dir``. Where that is unset, one machine takes a
+    folder of its own, as in tests; a cluster has no other folder that all executors share, so there
+    it is an error.
     """
     folder(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -26,6 +29,8 @@ def folder(spark: SparkSession) -> str:
     """The checkpoint folder, named where it isn't yet."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexweave-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -52,3 +57,16 @@ def shared(spark: SparkSession, value: object) -> Callable[[], Any]:
     """``value`` broadcast once; the result returns it on an executor, where this package needn't be installed."""
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
     return lambda: pickle.loads(sent.value)
+
+
+def with_row_numbers(df: DataFrame, order: str) -> DataFrame:
+    """``df`` with ``row_number`` from 1 in the order of a column, without bringing all rows to one task.
+
+    The ranges are written once, so that their sizes and their rows are of the same bounds.
+    """
+    ranged = df.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
+    inner = keep(ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(order))))
+    # As many rows as there are ranges.
+    sizes = inner.groupBy("_p").agg(F.count(F.lit(1)).alias("_s"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return inner.join(F.broadcast(before.select("_p", "_before")), "_p").withColumn("row_number", F.col("_before") + F.col("_i")).drop("_p", "_i", "_before")
