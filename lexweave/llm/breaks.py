@@ -1,10 +1,11 @@
 """Problem 1: translations that stop before their end.
 
 Method: length histograms in characters and bytes, per provider; a spike is a length at which far
-more texts without terminal punctuation end than at the lengths around it. Texts cut in transfer
-end at any length, which no histogram shows, so the method alone can't list them: every text is
-also held against its source, for leftovers at the break, for a last sentence that no complete
-translation ends like, and, by a stack of delimiters, for a bracket, quote or fence left open.
+more texts without terminal punctuation end than at the lengths around it. A text without an end at
+such a length is cut unless it ends like its source or lacks the full stop only. Texts cut in
+transfer end at any length, which no histogram shows, so the method alone can't list them: every
+text is also held against its source, for leftovers at the break, for a last sentence that no
+complete translation ends like, and, by a stack of delimiters, for a bracket, quote or fence left open.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.forms import same_form
+from lexweave.llm.forms import same_form, words
+from lexweave.llm.phrases import Phrases
 from lexweave.llm.residue_terms import NOTICES, PLACEHOLDER, REFUSALS
-from lexweave.plans.lineage import shared, spread
+from lexweave.plans.lineage import keep, spread
 
 ENDED = r"[.!?…:;][\s\"'»“”’)\]>*]*$"
 _ENDED = re.compile(r"[.!?…][\s\"'»“”’)\]>*]*$")
@@ -35,7 +37,12 @@ DELIMITED = r"[(\[{«»„“”\"]|```"
 SPIKE_LEAST, SPIKE_TIMES, AROUND = 8, 4.0, 8
 #: Share of the length expected from its source under which a last sentence is too short.
 SHORT = 0.66
-MOST_END_WORDS = 20_000
+#: The same at a spike, where most texts without an end are cut: what is missing is the full stop only.
+SHORT_AT_SPIKE = 0.9
+#: Sentences of complete texts that must end with a word to make it a usual one.
+LEAST_ENDS = 3
+#: Notices and refusals stop where they do.
+_EXCUSED = Phrases((*NOTICES, *REFUSALS))
 
 
 def length_spikes(df: DataFrame, source: Column, text: Column) -> DataFrame:
@@ -43,22 +50,24 @@ def length_spikes(df: DataFrame, source: Column, text: Column) -> DataFrame:
 
     Counts of all rows; texts without terminal punctuation are held against those of the lengths nearby.
     """
-    units = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length(text).alias("length")), F.struct(F.lit("bytes").alias("unit"), F.octet_length(text).alias("length")))).alias("u")
-    counts = df.select(F.coalesce(source, F.lit("")).alias("source"), text.rlike(ENDED).alias("ended"), units).filter(F.col("ended").isNotNull())
-    by = counts.groupBy("source", F.col("u.unit").alias("unit"), F.col("u.length").alias("length")).agg(F.count(F.lit(1)).alias("all_texts"), F.count(F.when(~F.col("ended"), 1)).alias("open_texts"))
-    near = by.select("source", "unit", F.explode(F.sequence(F.col("length") - AROUND, F.col("length") + AROUND)).alias("length"), F.col("length").alias("from"), "open_texts")
+    one = df.filter(text.isNotNull()).groupBy(F.coalesce(source, F.lit("")).alias("source"), F.length(text).alias("chars"), F.octet_length(text).alias("bytes")).agg(F.count(F.lit(1)).alias("all_texts"), F.count(F.when(~text.rlike(ENDED), 1)).alias("open_texts"))
+    units = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length")))).alias("u")
+    # Written once: a row for each length, which its neighbours read again.
+    by = keep(one.select("source", units, "all_texts", "open_texts").groupBy("source", F.col("u.unit").alias("unit"), F.col("u.length").alias("length")).agg(F.sum("all_texts").alias("all_texts"), F.sum("open_texts").alias("open_texts")))
+    near = by.filter("open_texts > 0").select("source", "unit", F.explode(F.sequence(F.col("length") - AROUND, F.col("length") + AROUND)).alias("length"), F.col("length").alias("from"), "open_texts")
     around = near.filter(F.col("from") != F.col("length")).groupBy("source", "unit", "length").agg((F.sum("open_texts") / (2 * AROUND)).alias("usual"))
-    spiked = by.join(around, ["source", "unit", "length"], "left").filter((F.col("open_texts") >= SPIKE_LEAST) & (F.col("open_texts") > SPIKE_TIMES * (F.coalesce("usual", F.lit(0.0)) + 1)))
+    spiked = by.filter(F.col("open_texts") >= SPIKE_LEAST).join(around, ["source", "unit", "length"], "left").filter(F.col("open_texts") > SPIKE_TIMES * (F.coalesce("usual", F.lit(0.0)) + 1))
     return spiked.select("source", "unit", "length", "open_texts", "all_texts")
 
 
-def end_words(df: DataFrame, text: Column, lang: Column, most: int = MOST_END_WORDS) -> DataFrame:
-    """``lang``, ``word``: words that sentences of complete texts end with, the most frequent ones of all rows."""
-    last = F.explode(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}\p{M}\p{Cf}]+)(?:[.!?]|[ \u00a0][!?])[\"'»“”’)]*(?=[\s\p{Zs}]|$)"), F.lit(1))).alias("raw")
+def end_words(df: DataFrame, text: Column, lang: Column) -> DataFrame:
+    """``lang``, ``word``: words that sentences of complete texts end with, counted over all rows."""
+    # A word is tried from its beginning only and never given back, so a text is read once.
+    last = F.explode(F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}\p{M}\p{Cf}])([\p{L}\p{N}\p{M}\p{Cf}]++)(?:[.!?]|[ \u00a0][!?])[\"'»“”’)]*+(?=[\s\p{Zs}]|$)"), F.lit(1))).alias("raw")
     seen = df.filter(text.rlike(ENDED)).select(F.coalesce(lang, F.lit("")).alias("lang"), last).groupBy("lang", "raw").agg(F.count(F.lit(1)).alias("n"))
     # one plain form for each distinct word, not for each text
     rows = seen.select("lang", F.lower(same_form(F.col("raw"))).alias("word"), "n").filter(F.col("word").rlike(r"^\p{L}+$"))
-    return rows.groupBy("lang", "word").agg(F.sum("n").alias("n")).filter("n >= 3").orderBy(F.desc("n"), "lang", "word").limit(most).select("lang", "word")
+    return rows.groupBy("lang", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_ENDS).select("lang", "word")
 
 
 def core(text: str) -> str:
@@ -103,8 +112,7 @@ def inside_delimiters(source: str, target: str) -> bool:
         return False
     unclosed, opened = open_delimiters(source)
     theirs = {(kind, k): at for kind, k, at in opened}
-    low = target.lower()
-    if any(x in low for x in NOTICES) or any(x in low for x in REFUSALS):
+    if _EXCUSED.within(target.lower()):
         return False
     ended = _ENDED.search(target.rstrip())
     for kind, k, at in left:
@@ -116,13 +124,13 @@ def inside_delimiters(source: str, target: str) -> bool:
     return False
 
 
-def breaks_off(source: str, target: str, ends: frozenset[str], at_spike: bool) -> bool:
-    """Whether ``target`` stops within a sentence although ``source`` is complete. ``ends``: usual last words of the language."""
+def breaks_off(source: str, target: str, usual_end: bool, at_spike: bool) -> bool:
+    """Whether ``target`` stops within a sentence although ``source`` is complete. ``usual_end``: complete texts of the language end with its last word."""
     s, t = core(source), core(target)
     if not _WORD.search(t) or not s:
         return False
     low = t.lower()
-    if any(x in low for x in NOTICES) or any(x in low for x in REFUSALS):
+    if _EXCUSED.within(low):
         return False
     open_source = s.endswith(("…", "...")) or bool(_LEFT.search(s))
     left = _LEFT.search(target.rstrip())
@@ -135,16 +143,16 @@ def breaks_off(source: str, target: str, ends: frozenset[str], at_spike: bool) -
     if places and places[-1].end() >= len(t) - 1:
         return False
     if not _ENDED.search(s):
-        return not places and _title_breaks(s, t)
+        return not places and (_title_breaks(s, t) or at_spike and len(t) < SHORT * len(s))
     theirs, ours = [x for x in _SENTENCE.split(s) if _WORD.search(x)], [x for x in _SENTENCE.split(t) if _WORD.search(x)]
     if len(ours) < len(theirs):
         return True
     last = _WORD.findall(ours[-1].lower())[-1]
-    if last not in ends:
+    if not usual_end:
         return not (last.isdigit() and last in theirs[-1]) or len(ours[-1]) < SHORT * len(theirs[-1])
     rest_s, rest_t = len(s) - len(theirs[-1]), len(t) - len(ours[-1])
     usual = rest_t / rest_s if rest_s > 60 else 0.97
-    return len(ours[-1]) < (SHORT + 0.07 * at_spike) * usual * len(theirs[-1])
+    return len(ours[-1]) < (SHORT_AT_SPIKE if at_spike else SHORT) * usual * len(theirs[-1])
 
 
 def _title_breaks(s: str, t: str) -> bool:
@@ -157,34 +165,38 @@ def _title_breaks(s: str, t: str) -> bool:
     return bool(number) and not re.search(r"\d", t) and len(t) < 0.8 * len(s) or len(s) >= 12 and len(t) < 0.4 * len(s)
 
 
+def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for i, p, s, t, open_, delimited, spike, usual in pdf.itertuples(index=False):
+            if open_ and breaks_off(s, t, usual, spike) or delimited and inside_delimiters(s, t):
+                out.append((i, p, spike))
+        yield pd.DataFrame(out, columns=["id", "source", "at_spike"])
+
+
 def cut_texts(df: DataFrame, id_col: str = "id") -> DataFrame:
     """``id``, ``source``, ``at_spike`` of the rows whose ``translated_text`` breaks off.
 
     Not cut: null, blank and wordless texts; texts that end like their source; texts that lack only
-    the full stop. A row without source text is complete.
+    the full stop. A row without source text is complete. Spikes and usual last words are joined to
+    the texts without an end, in any number.
     """
-    spikes = {(r.source, r.unit, r["length"]) for r in length_spikes(df, F.col("provider"), F.col("translated_text")).limit(MOST_END_WORDS).collect()}
-    words: dict[str, set] = {}
-    for r in end_words(df, F.col("translated_text"), F.lower(F.substring("target_lang", 1, 2))).collect():
-        words.setdefault(r.lang, set()).add(r.word)
-    everything = frozenset().union(*words.values()) if words else frozenset()
-    known = shared(df.sparkSession, ({k: frozenset(v) for k, v in words.items()}, everything, spikes))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ends, every, at = known()
-        for pdf in batches:
-            out = []
-            for i, p, lang, s, t, chars, octets, open_, delimited in pdf.itertuples(index=False):
-                spike = (p, "chars", chars) in at or (p, "bytes", octets) in at
-                if open_ and breaks_off(s, t, ends.get(lang, every), spike) or delimited and inside_delimiters(s, t):
-                    out.append((i, p, spike))
-            yield pd.DataFrame(out, columns=["id", "source", "at_spike"])
-
-    text, source = F.col("translated_text"), F.col("source_text")
+    text, source, lang = F.col("translated_text"), F.col("source_text"), F.coalesce(F.lower(F.substring("target_lang", 1, 2)), F.lit(""))
+    spikes = length_spikes(df, F.col("provider"), text).select("source", "unit", "length")
+    ends = keep(end_words(df, text, lang))
     open_ = ~text.rlike(r"[^.][.!?][\s\"'»“”’)*]*$") | text.rlike(r"[\[&<�…-][^\s]{0,12}$")
     rows = spread(df).filter(source.isNotNull() & text.isNotNull()).withColumns({"_open": open_, "_delimited": text.rlike(DELIMITED) & source.rlike(DELIMITED)})
     # a text with an end of its own needs no comparison, unless a delimiter may be open there
-    return rows.filter("_open or _delimited").select(F.col(id_col).cast("long").alias("id"), F.coalesce("provider", F.lit("")).alias("source"), F.coalesce(F.lower(F.substring("target_lang", 1, 2)), F.lit("")), same_form(source), same_form(text), F.length(text), F.octet_length(text), "_open", "_delimited").toDF("id", "source", "lang", "s", "t", "chars", "octets", "open_", "delimited").mapInPandas(run, "id long, source string, at_spike boolean")
+    rows = rows.filter("_open or _delimited").select(F.col(id_col).cast("long").alias("id"), F.coalesce("provider", F.lit("")).alias("source"), lang.alias("lang"), same_form(source).alias("s"), same_form(text).alias("t"), F.length(text).alias("chars"), F.octet_length(text).alias("octets"), F.col("_open").alias("open_"), F.col("_delimited").alias("delimited"))
+    rows = rows.withColumn("word", F.coalesce(F.try_element_at(words(F.col("t")), F.lit(-1)), F.lit("")))
+    mark = lambda d, name: d.withColumn(name, F.lit(True))
+    by = lambda unit, length: mark(spikes.filter(F.col("unit") == unit).select("source", F.col("length").alias(length)), f"at_{unit}")
+    rows = rows.join(by("chars", "chars"), ["source", "chars"], "left").join(by("bytes", "octets"), ["source", "octets"], "left")
+    # A language without any end word of its own takes those of all.
+    rows = rows.join(mark(ends, "own"), ["lang", "word"], "left").join(mark(ends.select("lang").distinct(), "known"), "lang", "left").join(mark(ends.select("word").distinct(), "some"), "word", "left")
+    yes = lambda *c: F.coalesce(*c, F.lit(False))
+    ready = rows.select("id", "source", "s", "t", "open_", "delimited", yes("at_chars", "at_bytes").alias("spike"), F.when(yes("known"), yes("own")).otherwise(yes("some")).alias("usual"))
+    return ready.mapInPandas(_cut, "id long, source string, at_spike boolean")
 
 
 def cut_share(df: DataFrame, id_col: str = "id") -> DataFrame:

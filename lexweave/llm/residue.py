@@ -1,10 +1,12 @@
 """Problem 4: placeholders, filler and error pages in place of translations.
 
-Method: labels spread among the segments of all translations, with digits masked. Starting at
-segments that bear a trusted residue label, every segment most of whose words labelled segments hold
-is held against all labelled ones of about its size: the Hamming distance of the SimHash fingerprints
-of their words drops the unlike ones, the words themselves decide, and the label spreads
-until the connected components are exhausted. Unfilled placeholders inside a translated sentence
+Method: labels spread among the segments of all translations, with digits masked. Two kinds of
+segments bear a trusted label: those that many rows hold although their translations are as long as
+their sources by chance only, since what stands for any source renders none, and those that say what
+inspected notices say, however rare. From there every segment most of whose words labelled segments
+hold is held against all labelled ones of about its size: the Hamming distance of the SimHash
+fingerprints of their words drops the unlike ones, the words themselves decide, and the label
+spreads until the connected components are exhausted. Unfilled placeholders inside a translated sentence
 mark their own row only, since the sentence around them is a good one.
 """
 
@@ -23,7 +25,8 @@ from pyspark.sql.types import BooleanType
 
 from lexweave.llm.forms import same_form
 from lexweave.llm.neardup import mixed
-from lexweave.llm.residue_terms import FILLER, LATIN, NOTICES, PLACEHOLDER
+from lexweave.llm.phrases import Phrases
+from lexweave.llm.residue_terms import FILLER, LATIN, NOTICES, PLACEHOLDER, REFUSALS
 from lexweave.plans.lineage import keep, keep_table, shared
 
 #: Share of the words of both that near-duplicates have in common.
@@ -35,7 +38,11 @@ MOST_SENT = 100_000
 #: More rounds than any chain of near-duplicates of a notice has needed; reaching it raises an error.
 MOST_ROUNDS = 50
 
+#: Rows that hold a segment of so many words, and the mean by which the logarithms of the lengths of their texts differ, that make a notice of it.
+LEAST_ROWS, NOTICE_WORDS, STRANGE_LENGTHS = 8, 4, 0.7
+
 _WORDS = re.compile(r"[^\W_]+|#")
+_INSPECTED, _REFUSALS = Phrases((*NOTICES, *FILLER)), Phrases(REFUSALS)
 
 
 def segment_key(segment: Column) -> Column:
@@ -52,11 +59,18 @@ def segments(df: DataFrame, text: str, *keep_columns: Column) -> DataFrame:
     return rows.withColumn("masked", segment_key(F.col("segment"))).filter(F.col("masked").rlike(r"[\p{L}#]")).drop("segment").withColumn("seg_key", F.xxhash64("masked"))
 
 
-def trusted(masked: str) -> bool:
-    """Whether a segment says what inspected notices and fillers say, or is nonsense Latin."""
-    if any(x in masked for x in NOTICES) or any(x in masked for x in FILLER):
+def trusted(masked: str, rows: int = 1, gap: float = 0.0) -> bool:
+    """Whether a segment bears a trusted label: it stands for any source, says what inspected notices and fillers say, or is nonsense Latin.
+
+    ``rows``: how many rows hold it. ``gap``: how far the lengths of their two texts are apart, as the
+    mean of the absolute logarithm of their ratio. Refusals stand for any source too but are answers.
+    """
+    if _INSPECTED.within(masked):
         return True
+    strange = rows >= LEAST_ROWS and gap >= STRANGE_LENGTHS
     words = _WORDS.findall(masked)
+    if strange and len(words) >= NOTICE_WORDS and not _REFUSALS.within(masked):
+        return True
     return len(words) >= 4 and sum(w in LATIN for w in words) >= 0.6 * len(words)
 
 
@@ -119,7 +133,7 @@ class Known:
 
 def _marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pdf.assign(trusted=[trusted(x) for x in pdf["masked"]])
+        yield pdf[["seg_key", "masked"]].assign(trusted=[trusted(*x) for x in zip(pdf["masked"], pdf["rows"], pdf["gap"], strict=True)])
 
 
 def near_segments(rest: DataFrame, frontier: DataFrame, most: int = MOST_SENT) -> DataFrame:
@@ -139,10 +153,16 @@ def near_segments(rest: DataFrame, frontier: DataFrame, most: int = MOST_SENT) -
     return reduce(DataFrame.unionByName, near).distinct()
 
 
-def residue_segments(df: DataFrame, text: str = "translated_text") -> DataFrame:
-    """``seg_key`` of the segments that are residue by their own words or as near-duplicates of such."""
+def pieces(df: DataFrame, id_col: str = "id", text: str = "translated_text", source: str = "source_text") -> DataFrame:
+    """``id``, ``gap``, ``masked``, ``seg_key`` of every segment, written once as a table."""
+    gap = F.abs(F.ln((F.length(text) + 1) / (F.length(source) + 1)))
+    return keep_table(segments(df, text, F.col(id_col).alias("id"), gap.cast("float").alias("gap")))
+
+
+def residue_segments(parts: DataFrame) -> DataFrame:
+    """``seg_key`` of the segments of ``parts`` that bear a trusted label or are near-duplicates of such."""
     # Identical segments are one; they are written once, as every round reads them.
-    one = segments(df, text).groupBy("seg_key").agg(F.min("masked").alias("masked"))
+    one = parts.groupBy("seg_key").agg(F.min("masked").alias("masked"), F.count(F.lit(1)).alias("rows"), F.coalesce(F.avg("gap"), F.lit(0.0)).alias("gap"))
     marked = keep_table(one.mapInPandas(_marked, "seg_key long, masked string, trusted boolean"))
     found = frontier = keep(marked.filter("trusted").select("seg_key", "masked"))
     rest = marked.filter(~F.col("trusted")).select("seg_key", "masked")
@@ -167,7 +187,7 @@ def unfilled(source: pd.Series, target: pd.Series) -> pd.Series:
 @F.pandas_udf(BooleanType())
 def discusses(source: pd.Series) -> pd.Series:
     """Whether the source itself carries a notice or filler."""
-    return pd.Series([any(x in s for x in NOTICES) or any(x in s for x in FILLER) for s in source.str.lower()], dtype=bool)
+    return pd.Series([_INSPECTED.within(s) for s in source.str.lower()], dtype=bool)
 
 
 def residue_rows(df: DataFrame, id_col: str = "id") -> DataFrame:
@@ -178,7 +198,8 @@ def residue_rows(df: DataFrame, id_col: str = "id") -> DataFrame:
     """
     source = F.coalesce(F.col("source_text"), F.lit(""))
     marked = df.filter(F.col("translated_text").rlike(r"[{}$%<>\[\]@_⟦#]")).select(F.col(id_col).alias("id"), source.alias("s"), F.col("translated_text").alias("t")).filter(unfilled("s", "t")).select("id")
-    labelled = segments(df, "translated_text", F.col(id_col).alias("id")).select("id", "seg_key").join(residue_segments(df), "seg_key", "left_semi").select("id").distinct()
+    parts = pieces(df, id_col)
+    labelled = parts.select("id", "seg_key").join(residue_segments(parts), "seg_key", "left_semi").select("id").distinct()
     # Few rows are left; only they fetch their source.
     noticed = df.select(F.col(id_col).alias("id"), source.alias("s")).join(labelled, "id", "left_semi").filter(~discusses("s")).select("id")
     return marked.unionByName(noticed).distinct()
