@@ -16,11 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.plans.lineage import keep, spread
+from lexweave.plans.lineage import keep, spread, width
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-GROUP = 20_000
-MOST_CAPACITIES = 1000
+GROUP = 10_000
 #: Texts are tokenized in parts of about this many characters, cut at blanks, to bound memory.
 BATCH_CHARS = 4_000_000
 OUT = "provider string, request long, doc_id long, part int, from_token long, tokens long"
@@ -100,16 +99,15 @@ def requests(docs: DataFrame, limits: DataFrame, id_col: str = "doc_id", text: s
     """``provider``, ``request``, ``doc_id``, ``part``, ``from_token``, ``tokens``: the request of each document, or of its parts.
 
     Only a document larger than one request has parts. Null and blank documents take part with 0
-    tokens. Limits that are null or below 1 and repeated ones make no requests of their own; there
-    may be at most 1000, more raise an error.
+    tokens. Limits that are null or below 1 and repeated ones make no requests of their own. Every
+    provider is a result of its own for all documents, so their list is short against the result.
     """
-    asked = [(r.provider, int(r.max_tokens)) for r in limits.filter("max_tokens >= 1").groupBy("provider").agg(F.min("max_tokens").alias("max_tokens")).limit(MOST_CAPACITIES + 1).collect()]
-    if len(asked) > MOST_CAPACITIES:
-        raise ValueError(f"more than {MOST_CAPACITIES} providers")
+    asked = [(r.provider, int(r.max_tokens)) for r in limits.filter("max_tokens >= 1").groupBy("provider").agg(F.min("max_tokens").alias("max_tokens")).collect()]
     sized = keep(token_counts(docs, id_col, text, path))
     groups = max(1, -(-sized.count() // group))
     dealt = sized.withColumn("h", F.xxhash64("doc_id")).withColumn("group", F.pmod("h", F.lit(groups)))
-    return dealt.groupBy("group").applyInPandas(_packer(asked), OUT)
+    # A number of partitions of its own, since adaptive execution would put the small groups into one task.
+    return dealt.repartition(max(width(docs.sparkSession), 4 * groups), "group").groupBy("group").applyInPandas(_packer(asked), OUT)
 
 
 def fill(packed: DataFrame, limits: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """Problem 10: text statistics of documents, and the kind of text they tell.
 
 Method: a Gaussian mixture, fitted by expectation-maximization on the standardized statistics of all
-documents, whose moments are added up in every step. The components start at inspected examples and are mapped to the kind of the
-examples that fall to them. Among the kinds that a document's lines and
-words bear out, the one with the largest share in the mixture is its kind.
+documents, whose moments are added up in every step. The components start at inspected examples and
+are mapped to the kind of the examples that fall to them. The kind with the largest share in the
+mixture is the document's kind.
 """
 
 from __future__ import annotations
@@ -26,10 +26,9 @@ CELLS = r"\||\t|\S {2,}\S.*? {2,}\S|^[^;]*;[^;]*;|^[^,]*,\S?[^\s,]*,\S"
 ENDED = r"[.!?…:][\"'»“”)\]]*\s*$"
 #: A line of up to so many words and no end punctuation is a bare short entry.
 SHORT_WORDS = 7
-#: Words in at least this share of the documents are common, the most frequent ones up to a bound.
-COMMON_SHARE, MOST_COMMON = 0.002, 5000
+#: Words in at least this share of the documents are common. There are at most 500 times as many as a document has distinct words on average.
+COMMON_SHARE = 0.002
 STEPS, FLOOR = 25, 0.02
-LINES = 2 / 3
 
 STATISTICS = ("word_count", "mean_word_length", "symbol_ratio", "ended_lines", "common_words")
 FEATURES = ("log_words", "mean_word_length", "symbol_ratio", "ended_lines", "common_words", "item_lines", "cell_lines", "short_lines", "log_distinct", "odd_tokens")
@@ -57,12 +56,11 @@ EXAMPLES = (
 KINDS = ("prose", "list", "table", "junk")
 
 
-def common_words(docs: DataFrame, text: str = "text", least: float = COMMON_SHARE, most: int = MOST_COMMON) -> list[str]:
-    """The words in at least ``least`` of all documents, at most ``most``, by their number of documents over the whole table."""
+def common_words(docs: DataFrame, text: str = "text", least: float = COMMON_SHARE) -> list[str]:
+    """The words in at least ``least`` of all documents, by their number of documents over the whole table."""
     rows = docs.filter(F.col(text).isNotNull()).select(F.explode(F.array_distinct(words(F.col(text)))).alias("w")).filter(F.col("w").rlike(r"^\p{L}+$"))
     bound = docs.count() * least
-    top = rows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(2.0, bound)).orderBy(F.desc("n"), "w").limit(most)
-    return sorted(r.w for r in top.collect())
+    return sorted(r.w for r in rows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(2.0, bound)).select("w").collect())
 
 
 _WORDS, _SPLIT = re.compile(r"[^\W_]+"), re.compile(r"\r\n|\r|\n")
@@ -215,15 +213,7 @@ def document_kinds(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     def judge(*columns: pd.Series) -> pd.Series:
         return pd.Series(list(model().kind_shares(np.stack([c.to_numpy(float) for c in columns], 1))))
 
-    strange = (F.col("common_words") < 1 - LINES) | (F.col("symbol_ratio") > 0.5) | (F.col("odd_tokens") > 0.2)
-    few = (F.col("word_count") >= 12) & (F.col("log_distinct") <= float(np.log1p(6)))
-    borne = {
-        "prose": ~strange,
-        "list": F.col("item_lines") + F.col("short_lines") > LINES,
-        "table": (F.col("cell_lines") > LINES) & (F.col("symbol_ratio") <= 0.5) & (F.col("odd_tokens") <= 0.2),
-        "junk": strange | few,
-    }
     j = stats.withColumn("j", judge(*FEATURES))
-    best = F.greatest(*[F.when(borne[k], F.struct(F.element_at("j", i + 1).alias("share"), F.lit(k).alias("kind"))) for i, k in enumerate(KINDS)])
+    best = F.greatest(*[F.struct(F.element_at("j", i + 1).alias("share"), F.lit(k).alias("kind")) for i, k in enumerate(KINDS)])
     j = j.withColumn("best", F.when(F.col("line_count") > 0, best))
     return j.withColumns({"kind": F.coalesce("best.kind", F.lit("prose")), "share": F.coalesce("best.share", F.lit(0.0))}).drop("j", "best")

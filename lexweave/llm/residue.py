@@ -35,8 +35,6 @@ NUM, DEN = 4, 5
 MOST_BITS = 28
 #: Labelled segments that are sent to the executors at a time.
 MOST_SENT = 100_000
-#: More rounds than any chain of near-duplicates of a notice has needed; reaching it raises an error.
-MOST_ROUNDS = 50
 
 #: Rows that hold a segment of so many words, and the mean by which the logarithms of the lengths of their texts differ, that make a notice of it.
 LEAST_ROWS, NOTICE_WORDS, STRANGE_LENGTHS = 8, 4, 0.7
@@ -166,12 +164,11 @@ def residue_segments(parts: DataFrame) -> DataFrame:
     marked = keep_table(one.mapInPandas(_marked, "seg_key long, masked string, trusted boolean"))
     found = frontier = keep(marked.filter("trusted").select("seg_key", "masked"))
     rest = marked.filter(~F.col("trusted")).select("seg_key", "masked")
-    for _ in range(MOST_ROUNDS):
-        if frontier.isEmpty():
-            return found.select("seg_key")
+    # Every round labels segments that had no label, so there are as many as the longest chain has links.
+    while not frontier.isEmpty():
         frontier = keep(near_segments(rest, frontier).join(found.select("seg_key"), "seg_key", "left_anti"))
         found = keep(found.unionByName(frontier))
-    raise RuntimeError(f"residue labels still spread after {MOST_ROUNDS} rounds")
+    return found.select("seg_key")
 
 
 def placeholders(text: str) -> set[str]:
