@@ -12,6 +12,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator, Mapping
+from itertools import zip_longest
 
 import numpy as np
 import pandas as pd
@@ -38,9 +39,8 @@ LEAST_WORDS = 3
 MOST_CACHED = 200_000
 #: Texts shorter than this teach nothing.
 SHORTEST = 12
-#: Part of its code length that a word counts when no training text held it; words with digits count nothing.
-STRANGE = 0.25
 
+_FOLD = {ord(c): plain for c, plain in zip_longest(*fold_table(), fillvalue="")}
 WORD = re.compile(r"[^\W_]+")
 BREAK = re.compile(r"(?<=[.!?…])[\s\"'»“”)*>]+|\n+")
 
@@ -64,7 +64,6 @@ class ContextTree:
 
     def __init__(self, counts: Mapping[bytes, int]) -> None:
         seen: Counter = Counter()
-        self.words = frozenset(counts)
         for word, n in counts.items():
             data = b" " + word + b" "
             for i in range(1, len(data)):
@@ -98,7 +97,7 @@ class ContextTree:
 
 
 class Scorer:
-    """Code lengths of words under every language, each distinct word coded once."""
+    """Code lengths of words under every language, each distinct word coded once; words with digits count nothing."""
 
     def __init__(self, trees: Mapping[str, ContextTree]) -> None:
         self.trees, self.cache = [trees[x] for x in LANGS], {}
@@ -106,9 +105,7 @@ class Scorer:
     def row(self, word: str) -> list[float]:
         if not word.isalpha():
             return [0.0] * len(self.trees)
-        data = word.encode()
-        known = any(data in t.words for t in self.trees)
-        return [t.bits(data) * (1.0 if known else STRANGE) for t in self.trees]
+        return [t.bits(word.encode()) for t in self.trees]
 
     def of(self, words: list[str]) -> np.ndarray:
         if len(self.cache) > MOST_CACHED:
@@ -136,8 +133,6 @@ def origins(text: str, plain: str) -> list[int]:
     """For each place in the plain form, and its end, the place in ``text`` that it comes from."""
     if text == plain:
         return list(range(len(text) + 1))
-    odd, fold = fold_table()
-    table = {ord(c): fold[i] if i < len(fold) else "" for i, c in enumerate(odd)}
     out: list[int] = []
     i = 0
     while i < len(text) and len(out) < len(plain):
@@ -145,7 +140,7 @@ def origins(text: str, plain: str) -> list[int]:
         # A letter and the marks after it become one; what is invisible between them vanishes.
         while j < len(text) and (unicodedata.combining(text[j]) or text[j] in INVISIBLE):
             j += 1
-        folded = "".join(LIGATURES.get(c, c) for c in text[i:j].translate(table))
+        folded = "".join(LIGATURES.get(c, c) for c in text[i:j].translate(_FOLD))
         one = unicodedata.normalize("NFC", folded)
         n = len(one) if plain.startswith(one, len(out)) else len(folded)
         out += [i] * n
@@ -153,28 +148,30 @@ def origins(text: str, plain: str) -> list[int]:
     return [*out, *[len(text)] * (len(plain) + 1 - len(out))]
 
 
-def scored(texts: list[list[str]], scorer: Scorer) -> list[np.ndarray]:
-    """For each text a matrix of code lengths, one row per segment."""
-    words = [[WORD.findall(s.lower()) for s in t] for t in texts]
-    flat = [w for t in words for s in t for w in s]
+def flat_bits(texts: list[list[str]], scorer: Scorer) -> np.ndarray:
+    """Code lengths of all segments of all texts, one row each."""
+    words = [WORD.findall(s.lower()) for t in texts for s in t]
+    flat = [w for s in words for w in s]
     if not flat:
-        return [np.zeros((len(t), len(LANGS))) for t in texts]
+        return np.zeros((len(words), len(LANGS)))
     ends = np.vstack([np.zeros(len(LANGS)), np.cumsum(scorer.of(flat), axis=0)])
-    out, at = [], 0
-    for t in words:
-        cuts = np.cumsum([at, *map(len, t)])
-        out.append(ends[cuts[1:]] - ends[cuts[:-1]])
-        at = cuts[-1]
-    return out
+    cuts = np.cumsum([0, *map(len, words)])
+    return ends[cuts[1:]] - ends[cuts[:-1]]
+
+
+def scored(texts: list[list[str]], scorer: Scorer) -> list[np.ndarray]:
+    """For each text a matrix of code lengths, one row per segment."""
+    return np.split(flat_bits(texts, scorer), np.cumsum([len(t) for t in texts])[:-1]) if texts else []
 
 
 def trained(df: DataFrame, sample: int = SAMPLE, among: int = AMONG) -> dict[str, ContextTree]:
-    """Context trees from at most ``sample`` texts a label, the first by hash of about ``among`` rows; mislabelled ones leave before the second training."""
+    """Context trees from at most ``sample`` different texts a label, the first by hash of about ``among`` rows; mislabelled ones leave before the second training."""
     every = max(1, df.count() // among)
     both = [df.select(label_language(F.col(label)).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h")) for label, text in (("source_lang", "source_text"), ("target_lang", "translated_text"))]
     few = both[0].unionByName(both[1]).filter(F.col("lang").isNotNull() & (F.length("text") >= SHORTEST) & (F.pmod("h", F.lit(every)) == 0))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    rows = few.withColumn("rank", rank).filter(F.col("rank") <= sample).select("lang", same_form(F.col("text")).alias("text")).collect()
+    # A text stored many times is one text of the sample.
+    rows = few.distinct().withColumn("rank", rank).filter(F.col("rank") <= sample).select("lang", same_form(F.col("text")).alias("text")).collect()
     texts: dict[str, list[str]] = {}
     for r in rows:
         texts.setdefault(r.lang, []).append(r.text)
@@ -190,10 +187,9 @@ def trained(df: DataFrame, sample: int = SAMPLE, among: int = AMONG) -> dict[str
     return fit(kept)
 
 
-def judged(bits: np.ndarray) -> tuple[str, float]:
-    """Best language of code lengths and its confidence."""
-    best = int(bits.argmin())
-    return LANGS[best], float(1 / np.exp2(np.clip(bits[best] - bits, -1000, 0)).sum())
+def judged(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of code lengths the place of the best language and its confidence."""
+    return bits.argmin(1), 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
 
 
 def mixture(m: np.ndarray) -> tuple[str, ...]:
@@ -224,25 +220,22 @@ def label_bits(df: DataFrame, label: str) -> np.ndarray:
 
 
 OUT = "id long, field string, segment int, begin int, end int, lang string, confidence double, issue string"
+_NAMES = np.array([*LANGS, None], object)
 
 
-def _languages(df: DataFrame, of: DataFrame, id_col: str, sample: int) -> DataFrame:
-    """Language rows of the texts of ``of`` by the labelled texts of ``df``, with the ``issue`` that a row tells of, if any."""
+def _languages(df: DataFrame, of: DataFrame, id_col: str, sample: int, issues: bool) -> DataFrame:
+    """Language rows of the texts of ``of`` by the labelled texts of ``df``, with the ``issue`` that a row tells of, if any; only those with one if ``issues``."""
     trees = shared(df.sparkSession, trained(df, sample))
     prior = {f: label_bits(df, f) for f in ("source_lang", "target_lang")}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(trees())
         for pdf in batches:
-            out = []
-            for field, raw, label, has in (("source_lang", "source_raw", "label", "has_source"), ("target_lang", "target_raw", None, "has_target")):
-                texts = pdf["source" if label else "target"]
-                cuts = [spans(t) if t is not None else [] for t in texts]
-                bits = scored([[t[i:j] for i, j in c] for t, c in zip(texts, cuts, strict=True)], scorer)
-                for i, told, named, original, t, c, m in zip(pdf["id"], pdf[label] if label else [None] * len(pdf), pdf[has], pdf[raw], texts, cuts, bits, strict=True):
-                    if t is not None:
-                        out += text_rows(i, field, told, named, original, t, c, m, prior[field])
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in OUT.split(", ")])
+            for field, side in (("source_lang", "source"), ("target_lang", "target")):
+                held = pdf[pdf[side].notna()]
+                if len(held):
+                    told = held["label"] if side == "source" else pd.Series([None] * len(held))
+                    yield field_rows(field, held["id"].to_numpy(), held[f"{side}_raw"].tolist(), held[side].tolist(), told.tolist(), held[f"has_{side}"].to_numpy(bool), scorer, prior[field], issues)
 
     rows = spread(of).select(
         F.col(id_col).cast("long").alias("id"),
@@ -257,25 +250,55 @@ def _languages(df: DataFrame, of: DataFrame, id_col: str, sample: int) -> DataFr
     return rows.mapInPandas(run, OUT)
 
 
-def text_rows(i: int, field: str, label: str | None, named: bool, original: str, text: str, cuts: list[tuple[int, int]], m: np.ndarray, prior: np.ndarray) -> list[tuple]:
-    """The rows of one text in its plain form with code lengths ``m``: one for the whole, one for each segment."""
-    if not WORD.search(text):
-        return [(i, field, 0, 0, len(original), None, 0.0, None)]
-    total = m.sum(0)
+def field_rows(field: str, ids: np.ndarray, originals: list[str], texts: list[str], labels: list[str | None], named: np.ndarray, scorer: Scorer, prior: np.ndarray, issues: bool) -> pd.DataFrame:
+    """The rows of the texts of one field, each in its plain form and as stored: one for the whole, one for each segment."""
+    wordless = np.array([not WORD.search(t) for t in texts])
+    cuts = [[] if w else spans(t) for t, w in zip(texts, wordless, strict=True)]
+    counts = np.array([len(c) for c in cuts])
+    m = flat_bits([[t[i:j] for i, j in c] for t, c in zip(texts, cuts, strict=True)], scorer)
+    text_of = np.repeat(np.arange(len(texts)), counts)
+    starts = np.cumsum(counts) - counts
+    total = np.zeros((len(texts), len(LANGS)))
+    np.add.at(total, text_of, m)
     lang, sure = judged(total + prior)
-    mix = mixture(m)
-    issue = None
-    if not named:
-        issue = "missing"
-    elif field == "source_lang" and not mix and label and lang != label and total[LANGS.index(label)] - total.min() >= CLEAR_BITS and sum(w.isalpha() for w in WORD.findall(text)) >= LEAST_WORDS:
-        issue = "wrong"
-    out = [(i, field, 0, 0, len(original), lang, sure, issue)]
-    at = origins(original, text) if original != text else range(len(text) + 1)
-    for k, ((begin, end), b) in enumerate(zip(cuts, m, strict=True), 1):
-        # A segment that tells nothing itself is in the language of its text.
-        own, own_sure = judged(b) if b.any() else (lang, sure)
-        out.append((i, field, k, at[begin], at[end], own, own_sure, "mixed" if field == "source_lang" and b.any() and own in mix else None))
-    return out
+    issue = np.full(len(texts), None, object)
+    part_issue = np.full(len(m), None, object)
+    own, own_sure = judged(m) if len(m) else (np.zeros(0, int), np.zeros(0))
+    # A segment that tells nothing itself is in the language of its text.
+    silent = ~m.any(1)
+    own, own_sure = np.where(silent, lang[text_of], own), np.where(silent, sure[text_of], own_sure)
+    issue[~named & ~wordless] = "missing"
+    if field == "source_lang":
+        mixed = np.zeros(len(texts), bool)
+        for k in _maybe_mixed(m, text_of, len(texts)):
+            part = slice(starts[k], starts[k] + counts[k])
+            mix = mixture(m[part])
+            mixed[k] = bool(mix)
+            part_issue[part] = ["mixed" if LANGS[x] in mix and not s else None for x, s in zip(own[part], silent[part], strict=True)]
+        told = np.array([LANGS.index(x) if x in LANGS else -1 for x in labels])
+        against = total[np.arange(len(texts)), told] - total.min(1) >= CLEAR_BITS
+        for k in np.nonzero(named & ~wordless & ~mixed & (told >= 0) & (lang != told) & against)[0]:
+            if sum(w.isalpha() for w in WORD.findall(texts[k])) >= LEAST_WORDS:
+                issue[k] = "wrong"
+    whole = pd.DataFrame({"id": ids, "field": field, "segment": 0, "begin": 0, "end": [len(x) for x in originals], "lang": _NAMES[np.where(wordless, -1, lang)], "confidence": np.where(wordless, 0.0, sure), "issue": issue})
+    at = np.array([x for c in cuts for x in c], np.int64).reshape(-1, 2)
+    if not issues:
+        for k, (original, text) in enumerate(zip(originals, texts, strict=True)):
+            if original != text and counts[k]:
+                part = slice(starts[k], starts[k] + counts[k])
+                at[part] = np.array(origins(original, text))[at[part]]
+    parts = pd.DataFrame({"id": ids[text_of], "field": field, "segment": np.arange(len(m)) - starts[text_of] + 1, "begin": at[:, 0], "end": at[:, 1], "lang": _NAMES[own], "confidence": own_sure, "issue": part_issue})
+    return pd.concat([x[x["issue"].notna()] if issues else x for x in (whole, parts)])
+
+
+def _maybe_mixed(m: np.ndarray, text_of: np.ndarray, texts: int) -> np.ndarray:
+    """Texts for whose segments two languages add up to enough, before repeated segments are looked for."""
+    if not len(m):
+        return np.zeros(0, int)
+    two = np.partition(m, 1, axis=1)
+    sums = np.zeros((texts, len(LANGS)))
+    np.add.at(sums, (text_of, m.argmin(1)), np.maximum(two[:, 1] - two[:, 0] - PART_BITS, 0))
+    return np.nonzero((sums >= SENTENCE_BITS - PART_BITS).sum(1) > 1)[0]
 
 
 def languages(df: DataFrame, id_col: str = "id", sample: int = SAMPLE) -> DataFrame:
@@ -284,7 +307,7 @@ def languages(df: DataFrame, id_col: str = "id", sample: int = SAMPLE) -> DataFr
     Segment 0 is the whole text; ``begin`` and ``end`` are places in the text as it is stored.
     A text without a word has no language, with confidence 0; null texts get no row.
     """
-    return _languages(df, df, id_col, sample).drop("issue")
+    return _languages(df, df, id_col, sample, False).drop("issue")
 
 
 def language_issues(df: DataFrame, id_col: str = "id", sample: int = SAMPLE) -> DataFrame:
@@ -297,5 +320,5 @@ def language_issues(df: DataFrame, id_col: str = "id", sample: int = SAMPLE) ->
     """
     # A translation whose label names a language has no issue, so it isn't scored here.
     of = df.withColumn("translated_text", F.when(~names_language(F.col("target_lang")), F.col("translated_text")))
-    rows = _languages(df, of, id_col, sample).filter(F.col("issue").isNotNull())
+    rows = _languages(df, of, id_col, sample, True)
     return rows.groupBy("id", "field", "issue", "lang").agg(F.max("confidence").alias("confidence"))
