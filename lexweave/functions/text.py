@@ -5,6 +5,8 @@ All patterns name Unicode blanks and word characters explicitly, so that every e
 
 from __future__ import annotations
 
+import html.entities
+import json
 from collections.abc import Callable
 from functools import reduce
 
@@ -18,19 +20,24 @@ NOT_WS = f"[^{WS_IN}]"
 WORD_CHAR = r"[\p{L}\p{N}_]"
 TOKEN = r"[\p{L}\p{N}_]+"
 
-# Entities decoded without a Python worker.
+ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+# Frequent entities, enough for texts that hold no other.
 ENTITIES = {"&nbsp;": " ", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&#039;": "'", "&#8217;": "’", "&#8211;": "–", "&#8230;": "…", "&hellip;": "…", "&shy;": "­", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
 # Spaces before these signs go, three dots first.
 SPACE_BEFORE = rf"{WS}+(\.\.\.|[.…,;:!?])"
 # Physical units after a number.
 UNITS = "uF|uf|µF|mF|nF|pF|mA|uA|µA|mV|kV|kHz|MHz|GHz|mW|kW|Hz|Ω|ohm|°C|°F|[VAW%]"
+JOINER = rf"{WS}\+{WS}"
 NUMBER = rf"(?:(?<![\p{{L}}\p{{N}}_])|(?<=[vV]))(?:\d+(?:\.\d+){{2,}}|\d+(?:[.,]\d+)?(?:{WS}*(?:{UNITS}))?)(?![\p{{L}}\p{{N}}_])"
 # Endings of bare host names.
 HOST_ENDS = "com|net|org|de|eu|io|info|biz|app|dev|shop|blog|cloud|edu|gov|uk|us|fr|it|nl|at|ch"
 HOST = rf"(?:[a-z0-9](?:[a-z0-9-]{{0,61}}[a-z0-9])?\.)+(?:{HOST_ENDS})"
+# The shapes of addresses, links and shortcodes.
 MAIL = r"(?:mailto:)?[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
+# The signs that end a sentence or bracket and not the link before them.
+LINK_END = r"[^\s<>\"'.,;:!?)\]]"
 LINK_SEGMENT = (rf"(?i)^{MAIL}$", r"(?i)^(?:https?://|ftp://|www\.)\S+", rf"(?i)^{HOST}(?:/\S*)?$")
-LINK = rf"(?i:{MAIL}|(?:https?://|ftp://|www\.)[^\s<>\"']+|(?<![\w.@]){HOST}(?:/[^\s<>\"']*)?)"
+LINK = rf"(?i:{MAIL}|(?:https?://|ftp://|www\.)[^\s<>\"']*{LINK_END}|(?<![\w.@]){HOST}(?:/(?:[^\s<>\"']*{LINK_END})?)?)"
 SHORTCODE = rf"\[[a-zA-Z][\p{{L}}\p{{N}}_-]*(?:{WS}+[^\]]*)?\](?:(?s:.)*?\[/[a-zA-Z][\p{{L}}\p{{N}}_-]*\])?"
 # Command line tools that open a command.
 TOOLS = "npm|npx|yarn|pnpm|git|composer|wp|docker|curl|ssh|pip|python|node|cargo|make|sudo"
@@ -40,6 +47,8 @@ EDGE = rf"[\p{{P}}\p{{S}}{WS_IN}]+"
 # Words and phrases that tell English and German.
 ENGLISH = "the and with for from this that are was were have been can used into about their there which when what will would could should also only than then them these those over under after before between through during without because while where or an of to in on at by as is it be no not named module error message failed missing invalid cannot undefined found warning exception please click select file path line return import class function".split()
 ENGLISH_ERRORS = ("no module named", "modulenotfounderror", "traceback (most recent call last)", "permission denied", "command not found", "syntaxerror", "filenotfounderror", "nameerror", "typeerror", "attributeerror", "importerror")
+# A phrase counts between the edges of words; after the bracket of the third one a word has to follow.
+ERROR_PHRASE = "(?:^|[^\\p{L}\\p{N}_])(?:" + "|".join(x.replace("(", "\\(").replace(")", "\\)") + ("[\\p{L}\\p{N}_]" if x.endswith(")") else "(?:[^\\p{L}\\p{N}_]|$)") for x in ENGLISH_ERRORS) + ")"
 GERMAN = "der die das und für mit nicht auch oder ein eine einer eines ist sind von zu den dem des auf aus bei nach über unter wenn wie noch schon werden wurde wurden kann können sich als aber nur mehr sehr hier dort diese dieser dieses einen einem".split()
 UMLAUT = "[äöüÄÖÜß]"
 # Markers of provider errors; the second list holds one more.
@@ -58,7 +67,26 @@ def trim_ws(t: Column) -> Column:
 
 
 def decode_entities(t: Column) -> Column:
-    return F.when(t.contains("&"), reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), t)).otherwise(t)
+    """Entities of the forms ``&name;`` and ``&#n;`` in one pass; unknown ones stay."""
+    frequent = reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), t)
+    # Few texts hold an entity besides the frequent ones; only they are taken apart.
+    rest = reduce(lambda c, e: F.replace(c, F.lit(e), F.lit("")), ENTITIES, t)
+    return F.when(~t.contains("&"), t).when(rest.rlike(ENTITY), _decoded(t)).otherwise(frequent)
+
+
+def _decoded(t: Column) -> Column:
+    found, between = F.regexp_extract_all(t, F.lit(f"({ENTITY})"), F.lit(1)), F.split(t, ENTITY, -1)
+    return F.array_join(F.transform(between, lambda x, i: F.when(i == 0, x).otherwise(F.concat(_entity(F.get(found, i - 1)), x))), "")
+
+
+def _entity(e: Column) -> Column:
+    body = F.substring(e, F.lit(2), F.length(e) - 2)
+    number = F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, F.lit(3), F.length(body)), 16, 10)).when(body.startswith("#"), F.substring(body, F.lit(2), F.length(body))).cast("long")
+    valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+    sign = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    # One literal of all names of the standard, which the optimizer folds.
+    names = F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")})), "map<string,string>")
+    return F.coalesce(F.when(valid, sign), F.when(number.isNull(), F.try_element_at(names, body)), e)
 
 
 def unify_ellipsis(t: Column) -> Column:
@@ -185,7 +213,7 @@ def hits(t: Column, words: list[str]) -> Column:
 
 def looks_english(t: Column) -> Column:
     low = F.lower(t)
-    error = reduce(lambda a, b: a | b, [low.contains(x) for x in ENGLISH_ERRORS])
+    error = low.rlike(ERROR_PHRASE)
     need = F.when(F.length(t) < 48, 2).otherwise(4)
     return ~t.rlike(UMLAUT) & (error | ((F.length(t) >= 12) & (hits(t, ENGLISH) >= need)))
 
@@ -257,14 +285,20 @@ def numbers(t: Column) -> Column:
     return F.regexp_extract_all(t, F.lit(NUMBER), F.lit(0))
 
 
-def mask(t: Column, pattern: str, prefix: str) -> Column:
-    """``masked`` and ``originals``: each match of ``pattern`` replaced by a numbered token."""
-    found = F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1))
+def mask(t: Column, pattern: str | Column, prefix: str, first: Column | None = None) -> Column:
+    """``masked`` and ``originals``: each match of ``pattern`` replaced by a token numbered from ``first``, else 0."""
+    pattern, first = F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(0) if first is None else first
+    found = F.regexp_extract_all(t, pattern, F.lit(0))
     between = F.split(t, pattern, -1)
-    joined = F.array_join(F.transform(between, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit(f"__{prefix}"), (i - 1).cast("string"), F.lit("__"), x))), "")
+    joined = F.array_join(F.transform(between, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit(f"__{prefix}"), (i - 1 + first).cast("string"), F.lit("__"), x))), "")
     return F.struct(joined.alias("masked"), found.alias("originals"))
 
 
+def mask_numbers(t: Column) -> Column:
+    """Numbers masked, then the plus signs between blanks, numbered on."""
+    return let(mask(t, NUMBER, "BTN"), lambda n: let(mask(n["masked"], JOINER, "BTN", F.size(n["originals"])), lambda p: F.struct(p["masked"].alias("masked"), F.concat(n["originals"], p["originals"]).alias("originals"))))
+
+
 def unmask(t: Column, originals: Column, prefix: str) -> Column:
     """Tokens replaced by their originals, also where a provider changed blanks, case or brackets; literal, highest number first."""
     numbered = F.reverse(F.transform(originals, lambda o, i: F.struct(o.alias("o"), i.alias("i"))))
@@ -273,33 +307,37 @@ def unmask(t: Column, originals: Column, prefix: str) -> Column:
         token = F.concat(F.lit(prefix + r"\s*"), p["i"].cast("string"))
         shapes = F.concat(F.lit(r"(?i)__\s*"), token, F.lit(r"\s*__|⟦\s*"), token, F.lit(r"\s*⟧|\[\s*"), token, F.lit(r"\s*\]|\(\s*"), token, F.lit(r"\s*\)|\b"), token, F.lit(r"\b"))
         literal = F.replace(F.replace(p["o"], F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
-        return F.regexp_replace(text, shapes, literal)
+        # What lost its number but kept brackets around the original.
+        bare = F.concat(F.lit(r"⟦\s*\Q"), p["o"], F.lit(r"\E\s*⟧|\[\s*\Q"), p["o"], F.lit(r"\E\s*\]"))
+        return F.regexp_replace(F.regexp_replace(text, shapes, literal), bare, literal)
 
     return scrub(F.aggregate(numbered, t, back))
 
 
 def restore_numbers(source: Column, translated: Column) -> Column:
     """``translated`` with the numbers it lost put at its end, once each."""
-    both = F.struct(numbers(source).alias("s"), numbers(translated).alias("n"), translated.alias("t"))
+    both = F.struct(numbers(source).alias("s"), translated.alias("t"))
 
     def restored(b: Column) -> Column:
-        lost = F.array_distinct(F.filter(b["s"], lambda n: ~F.array_contains(b["n"], n) & ~b["t"].contains(n)))
+        there = lambda n: F.rlike(b["t"], F.concat(F.lit(r"(?:(?<![\p{L}\p{N}_])|(?<=[vV]))\Q"), n, F.lit(r"\E(?![\p{L}\p{N}_])")))
+        lost = F.array_distinct(F.filter(b["s"], lambda n: ~there(n)))
         return let(lost, lambda x: F.when(F.size(x) > 0, F.concat(F.rtrim(b["t"]), F.lit(" "), F.array_join(x, " "))).otherwise(b["t"]))
 
     return let(both, restored)
 
 
 def drop_repeated_tail(t: Column) -> Column:
-    """Without the last number while it stands at the end and occurs before, as often as it repeats."""
-    both = F.struct(t.alias("t"), numbers(t).alias("n"))
+    """Without the last number while it stands at the end and occurs before, until nothing changes."""
 
     def cut(b: Column) -> Column:
         last = F.element_at(b["n"], -1)
-        repeats = F.size(F.filter(b["n"], lambda n: n == last))
-        once = F.regexp_replace(b["t"], F.concat(F.lit(rf"(?:{WS}+\Q"), last, F.lit(r"\E){1,"), F.greatest(repeats - 1, F.lit(1)).cast("string"), F.lit(rf"}}{WS}*$")), "")
-        return F.when((F.size(b["n"]) >= 2) & (repeats >= 2), F.rtrim(once)).otherwise(b["t"])
+        shorter = F.regexp_replace(b["t"], F.concat(F.lit(rf"{WS}+\Q"), last, F.lit(rf"\E{WS}*$")), "")
+        repeats = F.size(F.filter(b["n"], lambda n: n == last)) >= 2
+        return F.when(repeats, F.regexp_replace(shorter, r"[ \t\n\r\x00\x0B]+$", "")).otherwise(b["t"])
 
-    return let(both, cut)
+    step = lambda x: let(F.struct(x.alias("t"), numbers(x).alias("n")), cut)
+    # Each step that changes something takes one number away.
+    return let(F.struct(t.alias("t"), numbers(t).alias("n")), lambda b: F.when(F.size(b["n"]) < 2, b["t"]).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(b["n"])), b["t"], lambda x, _: step(x))))
 
 
 def polish(source: Column, translated: Column) -> Column:
@@ -308,7 +346,7 @@ def polish(source: Column, translated: Column) -> Column:
 
 
 def line_list(t: Column) -> Column:
-    """Lines of a setting, without blanks, comments and repeats, longest first."""
+    """Lines of a setting, without blanks and comments, longest first."""
     lines = F.filter(F.transform(F.split(t, r"\r\n|\n|\r"), lambda x: trim_ws(x)), lambda x: (x != "") & ~x.startswith("#"))
     return F.array_sort(lines, lambda a, b: F.length(b) - F.length(a))
 
@@ -319,8 +357,7 @@ def id_list(t: Column) -> Column:
 
 
 def chunks(t: Column, most: int = 450) -> Column:
-    """Sentences packed into requests of at most ``most`` characters; a longer sentence is one of its own."""
-    parts = F.split(t, rf"(?<=[.!?…]){WS}+")
+    """Sentences packed into requests of at most ``most`` characters; a longer sentence is cut there, as the provider takes no more."""
     start = F.struct(F.lit("").alias("b"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, p: Column) -> Column:
@@ -329,7 +366,9 @@ def chunks(t: Column, most: int = 450) -> Column:
         done = F.when(fits | (acc["b"] == ""), acc["out"]).otherwise(F.array_append(acc["out"], acc["b"]))
         return F.struct(F.when(fits, joined).otherwise(p).alias("b"), done.alias("out"))
 
-    return F.aggregate(parts, start, step, lambda a: F.when(a["b"] == "", a["out"]).otherwise(F.array_append(a["out"], a["b"])))
+    packed = lambda x: F.aggregate(F.split(x, rf"(?<=[.!?…]){WS}+"), start, step, lambda a: F.when(a["b"] == "", a["out"]).otherwise(F.array_append(a["out"], a["b"])))
+    cut = lambda x: F.filter(F.transform(packed(x), lambda c: F.substring(trim_ws(c), 1, most)), lambda c: c != "")
+    return let(trim_ws(t), lambda x: F.when(F.length(x) <= most, F.filter(F.array(x), lambda c: c != "")).otherwise(cut(x)))
 
 
 def segment_hash(source: Column, target: Column, text: Column) -> Column:

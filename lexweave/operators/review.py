@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,30 +75,30 @@ def hit_rate(hits: Column, calls: Column) -> Column:
 
 
 def token_diff(old: str, new: str) -> list[tuple[str, str]]:
-    """Longest common subsequence of words and blanks; deletions come before insertions."""
-    split = lambda s: [x for x in re.split(r"(\s+)", s) if x]
-    a, b = split(old), split(new)
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    x, y = a[head:], b[head:]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(len(y) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if x[i] == y[j] else max(below[j], row[j + 1])
-    out, i, j = [("eq", t) for t in a[:head]], 0, 0
-    while i < len(x) and j < len(y):
-        if x[i] == y[j]:
+    """Longest common subsequence of words and blanks, read from the end: there a deletion comes before an insertion.
+
+    Equal beginnings and ends are taken off first, so that the table only holds what lies between.
+    """
+    a, b = (np.array([x for x in re.split(r"(\s+)", s) if x], object) for s in (old, new))
+    short = min(len(a), len(b))
+    tail = next((k for k in range(short) if a[-1 - k] != b[-1 - k]), short)
+    x, y = a[: len(a) - tail], b[: len(b) - tail]
+    best = np.zeros((len(x) + 1, len(y) + 1), np.int32)
+    for i in range(1, len(x) + 1):
+        # A row at once: the best so far of the row above, one more where the tokens are equal.
+        best[i, 1:] = np.maximum.accumulate(np.where(y == x[i - 1], best[i - 1, :-1] + 1, best[i - 1, 1:]))
+    out, i, j = [("eq", t) for t in a[len(a) - tail :][::-1]], len(x), len(y)
+    while i and j:
+        if x[i - 1] == y[j - 1]:
+            i, j = i - 1, j - 1
             out.append(("eq", x[i]))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
+        elif best[i - 1, j] >= best[i, j - 1]:
+            i -= 1
             out.append(("del", x[i]))
-            i += 1
         else:
+            j -= 1
             out.append(("ins", y[j]))
-            j += 1
-    return out + [("del", t) for t in x[i:]] + [("ins", t) for t in y[j:]]
+    return [*[("ins", t) for t in y[:j]], *[("del", t) for t in x[:i]], *out[::-1]]
 
 
 DIFF = ArrayType(StructType([StructField("op", StringType()), StructField("token", StringType())]))

@@ -110,7 +110,7 @@ def hits_sql(x: str, words: list[str]) -> str:
 
 
 def english_sql(x: str) -> str:
-    errors = " OR ".join(f"contains(lower({x}), {q(e)})" for e in T.ENGLISH_ERRORS)
+    errors = f"regexp_matches(lower({x}), {q(T.ERROR_PHRASE)})"
     return f"(NOT regexp_matches({x}, {q(T.UMLAUT)}) AND ({errors} OR (length({x}) >= 12 AND {hits_sql(x, T.ENGLISH)} >= CASE WHEN length({x}) < 48 THEN 2 ELSE 4 END)))"
 
 
@@ -362,7 +362,7 @@ def affixes(spark, d):
 def guarded_tokens(spark, d):
     s = F.col("source_text")
     rows = mem(spark, d).select("id", s, T.mask(s, T.LINK, "BTL").alias("l"), T.numbers(s).alias("numbers"))
-    rows = rows.withColumn("n", T.mask(F.col("l.masked"), T.NUMBER, "BTN"))
+    rows = rows.withColumn("n", T.mask_numbers(F.col("l.masked")))
     return rows.select("id", F.col("n.masked").alias("masked"), "numbers", (T.unmask(T.unmask(F.col("n.masked"), F.col("n.originals"), "BTN"), F.col("l.originals"), "BTL") == T.scrub(s)).alias("round_trip"))
 
 

@@ -50,7 +50,9 @@ def test_neighbours(spark):
 
 
 def test_diff():
-    assert V.token_diff("a b c", "a x c") == [("eq", "a"), ("eq", " "), ("del", "b"), ("ins", "x"), ("eq", " "), ("eq", "c")]
+    assert V.token_diff("a b c", "a x c") == [("eq", "a"), ("eq", " "), ("ins", "x"), ("del", "b"), ("eq", " "), ("eq", "c")]
+    assert V.token_diff("", "a") == [("ins", "a")] and V.token_diff("a b", "b") == [("del", "a"), ("del", " "), ("eq", "b")]
+    assert V.token_diff("x y", "x y") == [("eq", "x"), ("eq", " "), ("eq", "y")]
 
 
 def test_phrases(spark):

@@ -13,7 +13,7 @@ def one(spark, f, *values):
 
 @pytest.mark.parametrize(
     ("given", "want"),
-    [("hier :", "hier:"), ("Ende .", "Ende."), ("el\nectrolytic", "electrolytic"), ("Elektrolyt-\nkondensator", "Elektrolytkondensator"), ("winnt", "winnt"), ("Warte…", "Warte..."), ("a &amp; b", "A & b"), ("eins.\n\nzwei", "Eins. Zwei"), ("", ""), (None, None), ("  x  y ", "X y")],
+    [("hier :", "hier:"), ("Ende .", "Ende."), ("el\nectrolytic", "electrolytic"), ("Elektrolyt-\nkondensator", "Elektrolytkondensator"), ("winnt", "winnt"), ("Warte…", "Warte..."), ("a &amp; b", "A & b"), ("eins.\n\nzwei", "Eins. Zwei"), ("", ""), (None, None), ("  x  y ", "X y"), ("a &euro; &#228;&#x1F600; &nix; &amp;lt;", "A € ä😀 &nix; &lt;")],
 )
 def test_normalize(spark, given, want):
     assert one(spark, T.normalize, given) == want
@@ -36,7 +36,7 @@ def test_language_hints(spark):
 
 @pytest.mark.parametrize(
     ("source", "given", "want"),
-    [("Herunterladen", "Download .", "Download"), ("PC World 115", "PC World", "PC World 115"), ("v2.1", "v2.1 2.1", "v2.1"), ("x", "2,2uFelectrolytic", "2,2uF electrolytic"), ("(Beschreibung)", "Description", "(Description)"), ("a", "⟦b⟧", "b")],
+    [("Herunterladen", "Download .", "Download"), ("PC World 115", "PC World", "PC World 115"), ("v2.1", "v2.1 2.1", "v2.1"), ("x", "2,2uFelectrolytic", "2,2uF electrolytic"), ("(Beschreibung)", "Description", "(Description)"), ("a", "⟦b⟧", "b"), ("v11 und 3", "v11 and 3", "v11 and 3"), ("a 11", "a 112", "a 112 11"), ("x", "2 3 2 3", "2 3"), ("x", "7 7 7", "7")],
 )
 def test_polish(spark, source, given, want):
     assert one(spark, T.polish, source, given) == want
@@ -53,7 +53,20 @@ def test_mangled_tokens_come_back(spark):
     assert one(spark, back, "a __ btn 0 __ b ⟦BTN1⟧ c [BTN0]") == "a 3,5 V b $1\\x c 3,5 V"
 
 
+def test_masks(spark):
+    m = one(spark, lambda t: T.mask(t, T.LINK, "BTL"), "siehe https://a.de/b?c=1). Und www.x.org, oder a.de/!")
+    assert m.originals == ["https://a.de/b?c=1", "www.x.org", "a.de/"] and m.masked.startswith("siehe __BTL0__). Und __BTL1__, oder __BTL2__")
+    m = one(spark, T.mask_numbers, "3 V + 4 V + x")
+    assert (m.masked, m.originals) == ("__BTN0____BTN2____BTN1____BTN3__x", ["3 V", "4 V", " + ", " + "])
+    assert one(spark, lambda t: T.unmask(t, F.array(F.lit("3 V")), "BTN"), "a ⟦ 3 V ⟧ b [3 V]") == "a 3 V b 3 V"
+
+
+def test_error_phrases(spark):
+    assert one(spark, T.looks_english, "xNameError") is False and one(spark, T.looks_english, "ein NameError!") is True
+
+
 def test_chunks(spark):
+    assert one(spark, lambda t: T.chunks(t, 5), "  abcdefgh. ij ") == ["abcde", "ij"] and one(spark, T.chunks, " ") == []
     assert one(spark, lambda t: T.chunks(t, 12), "Eins zwei. Drei vier. Fünf.") == ["Eins zwei.", "Drei vier.", "Fünf."]
     assert one(spark, lambda t: T.chunks(t, 25), "Eins zwei. Drei vier. Fünf.") == ["Eins zwei. Drei vier.", "Fünf."]
 
