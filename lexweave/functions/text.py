@@ -273,7 +273,7 @@ def align_edges(source: Column, translated: Column) -> Column:
 
 
 def scrub(t: Column) -> Column:
-    return F.when(has_artifacts(t), trim_ws(F.regexp_replace(F.translate(t, "⟦⟧", ""), rf"{WS}{{2,}}", " "))).otherwise(t)
+    return let(t, lambda x: F.when(has_artifacts(x), trim_ws(F.regexp_replace(F.translate(x, "⟦⟧", ""), rf"{WS}{{2,}}", " "))).otherwise(x))
 
 
 def clean_output(t: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,6 +45,24 @@ def url_for(url: Column, lang: Column, targets: Sequence[str], source: str, home
     return F.concat(F.lit(home.rstrip("/")), F.when(lang == source, slashed).otherwise(F.concat(F.lit("/"), lang, slashed)), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
 
 
+def alternates(url: Column, targets: Sequence[str], source: str, home: str = "") -> Column:
+    """Array of ``lang``, ``url``: the page in the source language and every target, and ``x-default`` for the source."""
+    langs = [*dict.fromkeys((source, *targets))]
+    one = lambda name, lang: F.struct(F.lit(name).alias("lang"), url_for(url, F.lit(lang), targets, source, home).alias("url"))
+    return F.array(*[one(x, x) for x in langs], one("x-default", source))
+
+
+def switcher(url: Column, targets: Sequence[str], source: str, labels: Mapping[str, str], cookie: Column | None = None, home: str = "") -> Column:
+    """Array of ``lang``, ``label``, ``url``, ``is_current``: one entry for each language of the site; unknown ones are labelled by their code."""
+    current = language_of(url, targets, source, cookie, home)
+    return F.array(*[F.struct(F.lit(x).alias("lang"), F.lit(labels.get(x, x.upper())).alias("label"), url_for(url, F.lit(x), targets, source, home).alias("url"), (current == x).alias("is_current")) for x in dict.fromkeys((source, *targets))])
+
+
+def is_translated(url: Column, text: Column, targets: Sequence[str], source: str, excluded: Sequence[str] = (), home: str = "") -> Column:
+    """Whether a page's text is to be translated: a target language, a path that isn't excluded, a text that isn't blank."""
+    return F.coalesce((language_of(url, targets, source, home=home) != source) & ~is_excluded(url, excluded, targets, home) & (F.trim(text) != ""), F.lit(False))
+
+
 def is_excluded(url: Column, prefixes: Sequence[str], targets: Sequence[str], home: str = "") -> Column:
     """Whether the page lies at or below one of the excluded paths; the root excludes nothing."""
     path = F.regexp_replace(F.regexp_replace(without_language(url, targets, home), r"\?.*$", ""), "(?<=.)/+$", "")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lexweave.functions.text import segment_hash
 from lexweave.operators.memory import best_by_hash
 
+#: A field's place times this, plus the line's, is the place of a segment; no string has as many lines.
+FIELD_ROOM = 2**31
 FIELDS = ("title", "excerpt", "text", "seo_title", "seo_description")
 
 
@@ -22,7 +24,7 @@ def segments(long: DataFrame) -> DataFrame:
     """``doc_id``, ``lang``, ``segment``, ``pos``: the distinct lines of a document's fields at their first place."""
     lines = long.select("doc_id", "lang", "field_no", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     trimmed = lines.withColumn("segment", F.trim("line")).filter("segment <> ''")
-    return trimmed.groupBy("doc_id", "lang", "segment").agg(F.min(F.col("field_no") * 1_000_000 + F.col("line_no")).alias("pos"))
+    return trimmed.groupBy("doc_id", "lang", "segment").agg(F.min(F.col("field_no").cast("long") * FIELD_ROOM + F.col("line_no")).alias("pos"))
 
 
 def with_target(segs: DataFrame, target: Column) -> DataFrame:
@@ -59,3 +61,15 @@ def needs_work(found: DataFrame, wanted: str = "needs_work") -> DataFrame:
     kinds = {"needs_work": ("auto", "edited", "missing"), "pending": ("auto", "edited"), "all": None}
     of = kinds.get(wanted, (wanted,))
     return found if of is None else found.filter(F.col("status").isin(*of))
+
+
+def published(docs: DataFrame, types: tuple[str, ...] = ("post", "page"), excluded_types: tuple[str, ...] = (), excluded_ids: tuple[int, ...] = ()) -> DataFrame:
+    """Published documents of the given types without the excluded types and ids."""
+    left = [t for t in types if t not in excluded_types]
+    rows = docs.filter((F.col("post_status") == "publish") & F.col("post_type").isin(left))
+    return rows.filter(~F.col("doc_id").isin([int(i) for i in excluded_ids])) if excluded_ids else rows
+
+
+def by_hash(segs: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Which segments of which documents have the given hashes."""
+    return segs.join(hashes.filter("hash <> ''").select("hash").distinct(), "hash", "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
@@ -64,9 +64,21 @@ def review_score(df: DataFrame | None = None) -> Column:
 def review_rows(rows: DataFrame) -> DataFrame:
     """Review rows without the automatic and missing ones that a better near-duplicate of their language pair replaces.
 
-    Empty sources are no duplicates of each other; edited and confirmed rows always stay.
+    Empty sources are no duplicates of each other; edited and confirmed rows always stay. The best
+    row of a text is found by a partial aggregate, so a text of many rows is in no one task.
     """
-    keyed = rows.withColumn("_k", T.canonical_source(F.col("source_text")))
-    w = Window.partitionBy("source_lang", "target_lang", "_k", F.when(F.col("_k") == "", F.col("id"))).orderBy(review_score().desc(), F.col("id").desc())
-    ranked = keyed.withColumn("_n", F.row_number().over(w))
-    return ranked.filter((F.col("_n") == 1) | ~F.col("status").isin("auto", "missing")).drop("_k", "_n")
+    k = T.canonical_source(F.col("source_text"))
+    keyed = rows.withColumns({"_k": k, "_own": F.when(k == "", F.col("id")), "_score": F.struct(review_score(), F.col("id"))})
+    names = ["source_lang", "target_lang", "_k", "_own"]
+    best = keyed.groupBy(*names).agg(F.max("_score").alias("_best")).select(*[F.col(c).alias(f"_b{c}") for c in names], "_best")
+    j = keyed.filter(F.col("status").isin("auto", "missing") | F.col("status").isNull()).join(best, [F.col(c).eqNullSafe(F.col(f"_b{c}")) for c in names]).filter(F.col("_score") == F.col("_best"))
+    stay = keyed.filter(~F.col("status").isin("auto", "missing"))
+    return stay.select(*rows.columns).unionByName(j.select(*rows.columns))
+
+
+def maintenance_counts(memory: DataFrame, collation: str = COLLATION) -> DataFrame:
+    """``deduped``, ``purged``, ``confirmed``: what each step of ``cleaned`` takes or changes."""
+    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    unique = deduplicated(memory, collation).withColumns({"_junk": junk_kind(memory).isNotNull(), "_pass": is_passthrough()})
+    after = unique.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_junk"), 1)).alias("purged"), F.count(F.when(~F.col("_junk") & F.col("_pass"), 1)).alias("confirmed"))
+    return one(memory, "m").join(F.broadcast(after)).select((F.col("m") - F.col("n")).alias("deduped"), "purged", "confirmed")

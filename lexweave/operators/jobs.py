@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.plans.lineage import with_row_numbers
@@ -37,6 +37,39 @@ def percent_done(done: int, total: int) -> int:
     return 100 if total <= 0 else round(100 * done / total)
 
 
+def replaced(items: DataFrame, started: Column) -> tuple[DataFrame, DataFrame]:
+    """A new queue in place of the old one, and its status: running, nothing done."""
+    status = items.agg(F.count(F.lit(1)).alias("total")).select(F.lit("running").alias("state"), "total", F.lit(0).cast("long").alias("done"), F.lit(0).cast("long").alias("errors"), started.alias("started"))
+    return items, status
+
+
+def appended(queue: DataFrame, texts: DataFrame, langs: Sequence[str], status: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The queue with each text that isn't blank put in once for each language, and the status after it.
+
+    ``texts``: ``text``. Added texts are ``auto`` items without an id. The total grows by them and is
+    never less than what is done and what waits.
+    """
+    rows = texts.filter(F.trim("text") != "").select("text").distinct().select(F.lit("auto").alias("type"), F.lit(0).cast("long").alias("id"), F.explode(F.array(*[F.lit(x) for x in langs])).alias("lang"), "text")
+    whole = queue.select("type", "id", "lang", "text").unionByName(rows)
+    added, waiting = rows.agg(F.count(F.lit(1)).alias("added")), whole.agg(F.count(F.lit(1)).alias("waiting"))
+    j = status.join(F.broadcast(added)).join(F.broadcast(waiting))
+    total = F.greatest(F.col("total") + F.col("added"), F.col("done") + F.col("waiting"))
+    return whole, j.select(F.lit("running").alias("state"), total.alias("total"), "done", "errors", "started")
+
+
+def changed_texts(events: DataFrame, docs: DataFrame, types: Sequence[str] = ("post", "page")) -> DataFrame:
+    """``text``: what saves put into the queue: the fields they changed and, whatever changed, both search texts of the document."""
+    fields = changed_fields(events, docs, ["-"], types).select("text")
+    live = docs.filter((F.col("post_status") == "publish") & F.col("post_type").isin(*types)).join(events.select("doc_id").distinct(), "doc_id", "left_semi")
+    seo = live.select(F.explode(F.array("seo_title", "seo_description")).alias("text")).filter(F.trim("text") != "")
+    return fields.unionByName(seo).distinct()
+
+
+def menu_texts(items: DataFrame) -> DataFrame:
+    """``text``: the labels of changed menu items that aren't blank."""
+    return items.filter((F.col("type") == "menu_item") & (F.trim("text") != "")).select("text").distinct()
+
+
 def changed_fields(events: DataFrame, docs: DataFrame, langs: Sequence[str], types: Sequence[str] = ("post", "page")) -> DataFrame:
     """``type``, ``id``, ``lang``, ``text``: queue items for the fields that a save changed.
 

@@ -43,12 +43,36 @@ def totals(rows: DataFrame, per: int = 20) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("total")).select("total", F.ceil(F.col("total") / F.lit(per)).cast("long").alias("pages"))
 
 
+def clamped_page(rows: DataFrame, sort: str = "newest", number: int = 1, per: int = 20) -> DataFrame:
+    """A page as in ``page``, the last one where the number is beyond it."""
+    per = min(max(per, 1), 100)
+    return page(rows, sort, min(max(number, 1), max(1, -(-rows.count() // per))), per)
+
+
+def adjacent(memory: DataFrame, current: int, status: str = "pending", target_lang: str = "") -> DataFrame:
+    """``prev_id``, ``next_id`` of any id, listed or not, around the ends; an id that isn't listed has the last and the first.
+
+    Null where the current id is the only one.
+    """
+    ids = listed(memory, status, target_lang)
+    by = ids.agg(F.count_distinct("id").alias("n"), F.max(F.col("id") == current).alias("listed"), F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.when(F.col("id") < current, F.col("id"))).alias("before"), F.min(F.when(F.col("id") > current, F.col("id"))).alias("after"))
+    alone, here = F.coalesce(F.col("listed") & (F.col("n") == 1), F.lit(False)), F.coalesce("listed", F.lit(False))
+    either = lambda near, end: F.when(~alone, F.when(here, F.coalesce(near, end)).otherwise(F.col(end)))
+    return by.select(either("before", "last").alias("prev_id"), either("after", "first").alias("next_id"))
+
+
 def stats(memory: DataFrame) -> DataFrame:
     """Rows by status in one row; ``total`` counts every status."""
     one = lambda s: F.count(F.when(F.col("status") == s, 1)).alias(s)
     return memory.agg(F.count(F.lit(1)).alias("total"), one("auto"), one("edited"), one("confirmed"))
 
 
+def stats_with(memory: DataFrame, runs: DataFrame) -> DataFrame:
+    """``stats`` with ``api_calls`` and ``cache_hits``, summed over the counters of all runs (``hits``, ``calls``)."""
+    sums = runs.agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("api_calls"), F.coalesce(F.sum("hits"), F.lit(0)).alias("cache_hits"))
+    return stats(memory).join(F.broadcast(sums)).withColumn("hit_rate", hit_rate(F.col("cache_hits"), F.col("api_calls")))
+
+
 def neighbours(memory: DataFrame, status: str = "pending") -> DataFrame:
     """``id``, ``prev_id``, ``next_id`` among the rows of a status, around the ends; null for a single row.
 

@@ -50,7 +50,7 @@ FIELDS_SQL = """f AS (
     FROM documents) WHERE trim(u.text) <> '')"""
 SEGS_SQL = f"""{FIELDS_SQL}, l AS (
   SELECT doc_id, lang, field_no, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM f),
- s AS (SELECT doc_id, lang, trim(line) AS segment, min(field_no * 1000000 + line_no) AS pos FROM l WHERE trim(line) <> '' GROUP BY ALL),
+ s AS (SELECT doc_id, lang, trim(line) AS segment, min(field_no::BIGINT * 2147483648 + line_no) AS pos FROM l WHERE trim(line) <> '' GROUP BY ALL),
  seg AS (SELECT doc_id, lang, segment, pos, CASE WHEN lang = 'de' THEN 'en' ELSE 'de' END AS target_lang,
    sha256(concat(lang, chr(0), CASE WHEN lang = 'de' THEN 'en' ELSE 'de' END, chr(0), segment)) AS hash FROM s WHERE lang IS NOT NULL),
  best AS (SELECT hash, id, translated_text, status FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY {RANK}, id DESC) AS n FROM bt_translations WHERE hash IS NOT NULL) WHERE n = 1),
@@ -419,13 +419,13 @@ def resolved_segments(spark, d):
 @query("fetched_titles", None)
 def fetched_titles(spark, d):
     rows = table(spark, d, "content_items").filter("type = 'post_title' and trim(text) <> ''").select(F.col("text").alias("segment"), F.lit("de").alias("lang"), F.lit("en").alias("target_lang")).distinct()
-    return R.fetched(rows, R.stub)
+    return R.fetched(rows, R.stub, table(spark, d, "glossary"), table(spark, d, "do_not_translate"))
 
 
 # --- terms
 
 KEY = ASCII_LOWER.format("trim({})")
-GLOSSARY = f"SELECT lang, key, source, target FROM (SELECT trim(lang) AS lang, trim(source) AS source, trim(target) AS target, {KEY.format('source')} AS key, row_number() OVER (PARTITION BY trim(lang), {KEY.format('source')} ORDER BY length(trim(source)) DESC, trim(source), trim(target)) AS n FROM glossary WHERE trim(source) <> '' AND trim(target) <> '' AND NOT starts_with(trim(source), '#')) WHERE n = 1"
+GLOSSARY = f"SELECT trim(lang) AS lang, {KEY.format('source')} AS key, trim(source) AS source, min(trim(target)) AS target FROM glossary WHERE trim(source) <> '' AND trim(target) <> '' AND NOT starts_with(trim(source), '#') GROUP BY ALL"
 PHRASES = f"SELECT DISTINCT {KEY.format('phrase')} AS key FROM do_not_translate WHERE trim(phrase) <> '' AND NOT starts_with(trim(phrase), '#')"
 
 
@@ -434,7 +434,7 @@ def glossary_entries(spark, d):
     return G.glossary_map(table(spark, d, "glossary"))
 
 
-@query("glossary_lookup", f"SELECT q.type, q.id, q.text, g.target AS glossary_target FROM queue q JOIN ({GLOSSARY}) g ON g.lang = lower(q.lang) AND g.key = {KEY.format('q.text')}")
+@query("glossary_lookup", f"SELECT q.type, q.id, q.text, g.target AS glossary_target FROM queue q JOIN (SELECT * FROM ({GLOSSARY}) QUALIFY row_number() OVER (PARTITION BY lang, key ORDER BY length(source) DESC, source) = 1) g ON g.lang = lower(q.lang) AND g.key = {KEY.format('q.text')}")
 def glossary_lookup(spark, d):
     return G.translated_terms(table(spark, d, "queue"), "text", "lang", table(spark, d, "glossary")).select("type", "id", "text", "glossary_target")
 
@@ -508,3 +508,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {k: sql for k, (_, sql) in QUERIES.items() if sql}
+
+
+from lexweave import pipeline_queries  # noqa: E402, F401  (adds its queries to QUERIES)

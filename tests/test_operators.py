@@ -87,7 +87,7 @@ def test_stream(spark, tmp_path):
     q = S.drain(S.read_queue(spark, str(tmp_path / "in")), lambda df: df.select("id", F.upper("text").alias("t")), str(tmp_path / "out"), str(tmp_path / "st"), str(tmp_path / "cp"), once=True)
     q.awaitTermination()
     p = S.progress(spark, str(tmp_path / "st"), 3).first()
-    assert (p.done, p.blank, p.total, p.state) == (4, 1, 4, "done")
+    assert (p.done, p.blank, p.errors, p.total, p.state) == (4, 1, 0, 4, "done")
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
 
 
