@@ -49,10 +49,10 @@ def cleaned(memory: DataFrame, collation: str = COLLATION) -> DataFrame:
 
 
 def healed(memory: DataFrame) -> DataFrame:
-    """Automatic rows that are no passthrough get their polished translation; the rest as ``passthrough_confirmed``."""
-    hit, auto = is_passthrough(), F.col("status") == "auto"
+    """Passthrough rows as ``passthrough_confirmed``; the other automatic rows get their polished translation."""
+    settled = passthrough_confirmed(memory)
     better = T.polish(F.col("source_text"), F.col("translated_text"))
-    return passthrough_confirmed(memory.withColumn("translated_text", F.when(auto & ~hit, better).otherwise(F.col("translated_text"))))
+    return settled.withColumn("translated_text", F.when(F.col("status") == "auto", better).otherwise(F.col("translated_text")))
 
 
 def review_score(df: DataFrame | None = None) -> Column:
