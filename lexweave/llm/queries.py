@@ -104,6 +104,19 @@ def sql_words(text: str) -> str:
     return f"regexp_extract_all(lower({sql_form(text)}), {literal(forms.WORD)})"
 
 
+def sql_canonical(text: str) -> str:
+    """Words in their order or sorted fields in SQL, over a column of plain forms in lower case."""
+    # Commas and slashes between digits are set aside, twice since neighbours share a digit.
+    inside = f"regexp_replace({text}, '([0-9])[,/]([0-9])', '\\1' || chr(1) || '\\2', 'g')"
+    inside = f"regexp_replace({inside}, '([0-9])[,/]([0-9])', '\\1' || chr(1) || '\\2', 'g')"
+    pieces = f"list_filter(regexp_split_to_array({inside}, '[;|·•\n\r,/]'), lambda p: regexp_matches(p, {literal(forms.WORD)}))"
+    shape = r"^[^\p{L}\p{N}:=]*(?:[\p{L}\p{N}'’-]+[^\p{L}\p{N}:=]*){1,4}[:=][^:=]*[\p{L}\p{N}][^:=]*$"
+    bad = f"list_filter({pieces}, lambda p: NOT regexp_matches(p, {literal(shape)}) OR regexp_matches(regexp_replace(p, '^[^:=]*[:=]', ''), '[.!?…][\t\n\r\f ]+\\p{{L}}'))"
+    tokens = f"list_transform({pieces}, lambda p: translate(array_to_string(regexp_extract_all(p, {literal(forms.WORD + '|[:=]')}), ' '), '=', ':'))"
+    fields = f"len({pieces}) >= 2 AND len({bad}) = 0"
+    return f"CASE WHEN {fields} THEN chr(2) || array_to_string(list_sort({tokens}), chr(2)) ELSE array_to_string(regexp_extract_all({text}, {literal(forms.WORD)}), ' ') END"
+
+
 def oracle_sql() -> dict[str, str]:
     pair = "coalesce(source_lang, chr(1)) AS a, coalesce(target_lang, chr(1)) AS b"
     one = lambda f: f"SELECT id, {pair}, '{f}' AS field, {f} AS text, {sql_form(f)} AS form FROM bt_translations WHERE {f} IS NOT NULL"
@@ -112,4 +125,10 @@ def oracle_sql() -> dict[str, str]:
     p5_canonical = f"{forms_}, c AS (SELECT a, b, field, form FROM f GROUP BY ALL HAVING count(DISTINCT text) > 1) SELECT DISTINCT id, field, form AS canonical FROM f JOIN c USING (a, b, field, form)"
     runs = lambda table, key: f"SELECT DISTINCT {key}, array_to_string(w[i:i + 7], ' ') AS run FROM (SELECT {key}, {sql_words('text')} AS w FROM {table}), unnest(range(1, len(w) + 1)) u(i) WHERE i + 7 <= len(w)"
     p9 = f"SELECT DISTINCT doc_id, item_id FROM ({runs('documents', 'doc_id')}) d JOIN ({runs('benchmark', 'item_id')}) b USING (run)"
-    return {"p5_found": p5, "p5_canonical": p5_canonical, "p9_found": p9}
+    plain = f"SELECT id, {pair}, lower({sql_form('source_text')}) AS t, source_text, previous_source_text FROM bt_translations"
+    records = f"c AS (SELECT *, {sql_canonical('t')} AS canon FROM ({plain}))"
+    p6 = f"WITH {records}, f AS (SELECT *, min(id) OVER (PARTITION BY a, b, canon) AS first_id FROM c WHERE canon IS NOT NULL) SELECT DISTINCT first_id, id FROM f WHERE id <> first_id"
+    p6_copies = f"WITH {records} SELECT min(id) AS first_id, count(*) AS copies FROM c WHERE canon IS NOT NULL GROUP BY a, b, canon"
+    sets = f"s AS (SELECT id, a, b, canon, field, list_distinct({sql_words('text')}) AS w FROM (SELECT id, a, b, canon, 1 AS field, source_text AS text FROM c UNION ALL SELECT id, a, b, canon, 2, previous_source_text FROM c)), l AS (SELECT *, len(w) AS n FROM s WHERE len(w) >= {neardup.LEAST_WORDS}), e AS (SELECT id, a, b, canon, field, n, unnest(w) AS w FROM l)"
+    p2 = f"WITH {records}, {sets}, m AS (SELECT x.id AS id_a, y.id AS id_b, x.field, y.field AS f2, x.n + y.n AS n, count(*) AS shared FROM e x JOIN e y ON x.w = y.w AND x.a = y.a AND x.b = y.b AND x.id < y.id AND x.canon IS DISTINCT FROM y.canon GROUP BY ALL) SELECT DISTINCT id_a, id_b FROM m WHERE 4 * shared >= 3 * (n - shared)"
+    return {"p2_found": p2, "p5_found": p5, "p5_canonical": p5_canonical, "p6_found": p6, "p6_copies": p6_copies, "p9_found": p9}
