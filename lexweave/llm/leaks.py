@@ -76,21 +76,16 @@ class Seeds:
 def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
     """Longest exact run on a diagonal, and words and substitutions of its longest overlap without two wrong words in a row."""
     lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
-    same = doc[lo + shift : hi + shift] == item[lo:hi]
-    run = best = words_ = wrong = gap = 0
-    top = (0, 0)
-    for s in same:
-        if s:
-            run, words_, gap = run + 1, words_ + 1, 0
-            best = max(best, run)
-            top = max(top, (words_, -wrong))
-        else:
-            run, gap = 0, gap + 1
-            if gap > 1:
-                words_ = wrong = 0
-            elif words_:
-                wrong += 1
-    return best, top[0], -top[1]
+    at = np.flatnonzero(doc[lo + shift : hi + shift] == item[lo:hi])
+    if not len(at):
+        return 0, 0, 0
+    step = np.diff(at)
+    ends = lambda far: np.concatenate([[0], np.flatnonzero(step > far) + 1, [len(at)]])
+    # One wrong word is a step of two; a longer one begins another overlap.
+    cuts = ends(2)
+    words_, wrong = np.diff(cuts), np.add.reduceat(np.concatenate([[0], step == 2]), cuts[:-1])
+    best = np.lexsort((-wrong, words_))[-1]
+    return int(np.diff(ends(1)).max()), int(words_[best]), int(wrong[best])
 
 
 OUT = "doc_id long, item_id long, exact_run int, overlap_words int, substitutions int"
@@ -138,10 +133,14 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = []
-        for doc, item, t, u in zip(*(b.column(c).to_pylist() for c in ("doc_id", "item_id", "t", "u")), strict=True):
-            a = np.array(t, np.int64).view(np.uint64)
-            out += _found(np.array([doc]), np.array([0, len(a)]), a, Seeds([item], [np.array(u, np.int64).view(np.uint64)]))
+        out, known = [], {}
+        (docs, d), (items, i) = ((b.column(c).values.to_numpy().view(np.uint64), b.column(c).offsets.to_numpy()) for c in ("t", "u"))
+        for k, (doc, item) in enumerate(zip(b.column("doc_id").to_numpy(), b.column("item_id").to_numpy(), strict=True)):
+            theirs, ours = items[i[k] : i[k + 1]], docs[d[k] : d[k + 1]]
+            # An id stored twice has two texts, so seeds are kept by their tokens.
+            key = (item, theirs.tobytes())
+            seeds = known[key] = known.get(key) or Seeds([int(item)], [theirs])
+            out += _found(np.array([doc]), np.array([0, len(ours)]), ours, seeds)
         yield _batches(out)
 
 

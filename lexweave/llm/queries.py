@@ -18,6 +18,11 @@ def p1_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return breaks.cut_share(table(spark, sf_dir, "bt_translations"))
 
 
+def p1_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "bt_translations")
+    return breaks.length_spikes(df, df.provider, df.translated_text)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "bt_translations"))
 
@@ -75,6 +80,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter(found.exact_run >= leaks.SPAN).select("doc_id", "item_id")
 
 
+def p9_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlaps that the masks tell, single substituted words and all, found by the join of masked windows."""
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), most_sent=0)
+
+
 def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.document_kinds(table(spark, sf_dir, "documents")).select("doc_id", "kind", *quality.STATISTICS)
 
@@ -85,7 +95,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_share": p1_share, "p2_found": p2_found, "p2_links": p2_links, "p2_members": p2_members, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_copies": p6_copies, "p7_found": p7_found, "p7_languages": p7_languages, "p8_requests": p8_requests, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found, "p10_stats": p10_stats}
+    return {"p1_found": p1_found, "p1_share": p1_share, "p1_spikes": p1_spikes, "p2_found": p2_found, "p2_links": p2_links, "p2_members": p2_members, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_copies": p6_copies, "p7_found": p7_found, "p7_languages": p7_languages, "p8_requests": p8_requests, "p8_fill": p8_fill, "p9_found": p9_found, "p9_overlaps": p9_overlaps, "p10_found": p10_found, "p10_stats": p10_stats}
 
 
 def sql_form(text: str) -> str:
@@ -131,4 +141,7 @@ def oracle_sql() -> dict[str, str]:
     p6_copies = f"WITH {records} SELECT min(id) AS first_id, count(*) AS copies FROM c WHERE canon IS NOT NULL GROUP BY a, b, canon"
     sets = f"s AS (SELECT id, a, b, canon, field, list_distinct({sql_words('text')}) AS w FROM (SELECT id, a, b, canon, 1 AS field, source_text AS text FROM c UNION ALL SELECT id, a, b, canon, 2, previous_source_text FROM c)), l AS (SELECT *, len(w) AS n FROM s WHERE len(w) >= {neardup.LEAST_WORDS}), e AS (SELECT id, a, b, canon, field, n, unnest(w) AS w FROM l)"
     p2 = f"WITH {records}, {sets}, m AS (SELECT x.id AS id_a, y.id AS id_b, x.field, y.field AS f2, x.n + y.n AS n, count(*) AS shared FROM e x JOIN e y ON x.w = y.w AND x.a = y.a AND x.b = y.b AND x.id < y.id AND x.canon IS DISTINCT FROM y.canon GROUP BY ALL) SELECT DISTINCT id_a, id_b FROM m WHERE 4 * shared >= 3 * (n - shared)"
-    return {"p2_found": p2, "p5_found": p5, "p5_canonical": p5_canonical, "p6_found": p6, "p6_copies": p6_copies, "p9_found": p9}
+    units = f"SELECT coalesce(provider, '') AS source, unnest([{{'unit': 'chars', 'length': length(translated_text)}}, {{'unit': 'bytes', 'length': strlen(translated_text)}}]) AS u, regexp_matches(translated_text, {literal(breaks.ENDED)}) AS ended FROM bt_translations WHERE translated_text IS NOT NULL"
+    by = f"by_ AS (SELECT source, u.unit AS unit, u.length AS length, count(*) AS all_texts, count(*) FILTER (WHERE NOT ended) AS open_texts FROM ({units}) GROUP BY ALL)"
+    p1 = f"WITH {by} SELECT x.source, x.unit, x.length, x.open_texts, x.all_texts FROM by_ x LEFT JOIN by_ y ON y.source = x.source AND y.unit = x.unit AND y.length <> x.length AND abs(y.length - x.length) <= {breaks.AROUND} GROUP BY ALL HAVING x.open_texts >= {breaks.SPIKE_LEAST} AND x.open_texts > {breaks.SPIKE_TIMES} * (coalesce(sum(y.open_texts), 0) / {2 * breaks.AROUND}.0 + 1)"
+    return {"p1_spikes": p1, "p2_found": p2, "p5_found": p5, "p5_canonical": p5_canonical, "p6_found": p6, "p6_copies": p6_copies, "p9_found": p9}

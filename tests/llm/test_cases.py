@@ -187,6 +187,28 @@ def test_leaks(spark):
     assert leaks.leaks(docs.limit(0), items).count() == 0 and leaks.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_overlap():
+    def slow(doc, item, shift):
+        lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
+        run = best = words = wrong = gap = 0
+        top = (0, 0)
+        for x in doc[lo + shift : hi + shift] == item[lo:hi]:
+            run, words, gap = (run + 1, words + 1, 0) if x else (0, words, gap + 1)
+            if x:
+                best, top = max(best, run), max(top, (words, -wrong))
+            elif gap > 1:
+                words = wrong = 0
+            else:
+                wrong += bool(words)
+        return best, top[0], -top[1]
+
+    r = np.random.default_rng(9)
+    for _ in range(300):
+        doc, item = r.integers(0, 3, 30), r.integers(0, 3, 12)
+        shift = int(r.integers(-5, 25))
+        assert leaks.overlap(doc, item, shift) == slow(doc, item, shift)
+
+
 def test_packing(spark):
     r = np.random.default_rng(3)
     sizes = r.integers(1, 100, 3000)
