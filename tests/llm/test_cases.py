@@ -116,6 +116,13 @@ def test_residue_spreads(memory):
     assert {r.seg_key for r in residue.near_segments(one, front, most=1).collect()} == {r.seg_key for r in residue.near_segments(one, front).collect()}
 
 
+def test_residue_of_copies(memory):
+    # a row stored again and again is no notice; what stands for different sources is
+    rows = [(i, "Das Menü ist im Keller zu finden, wenn das Licht an der Tür brennt.", "The menu is below.") for i in range(12)]
+    rows += [(20 + i, f"Das Menü {'abcdefgh'[i]} ist im Keller zu finden, wenn das Licht brennt.", "Nothing stands here yet.") for i in range(8)]
+    assert {r.id for r in residue.residue_rows(memory(*rows)).collect()} == set(range(20, 28))
+
+
 def test_residue_recall():
     r = np.random.default_rng(5)
     names = [f"w{i}" for i in range(60)]
