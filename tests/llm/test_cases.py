@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, with the results the docstrings state."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,39 @@ def test_near_duplicates(corpus):
     assert neardup.near_duplicates(corpus.limit(0)).count() == 0 and neardup.near_links(corpus.limit(0)).count() == 0
 
 
+def test_all_near_duplicates(memory):
+    # 24 of 32 words are shared, just three quarters: each of the pairs counts
+    pair = lambda i: [(2 * i, " ".join(f"w{i}x{k}" for k in range(28)), "x"), (2 * i + 1, " ".join(f"w{i}x{k}" for k in range(4, 32)), "x")]
+    rows = [r for i in range(400) for r in pair(i)]
+    assert {tuple(r) for r in neardup.near_duplicates(memory(*rows)).collect()} == {(2 * i, 2 * i + 1) for i in range(400)}
+
+
+def test_near_duplicates_of_short_words(memory):
+    # "ŉ" parts words without a blank, so eighteen fit in 34 characters
+    text = "aŉŉ" + "ŉ".join("bcdefghijklmopqr")
+    assert len(text) == 34
+    assert {tuple(r) for r in neardup.near_duplicates(memory((1, text, "x"), (2, text + " s", "x"))).collect()} == {(1, 2)}
+
+
+def test_blocks():
+    r = np.random.default_rng(3)
+    sets = []
+    for n in r.choice([18, 24, 33, 63, 64, 65, 130, 300], 200):
+        own = r.choice(3000, n, replace=False)
+        sets += [own, np.concatenate([own[n // 8 :], r.choice(np.arange(5000, 9000), n // int(r.integers(7, 15)), replace=False)])]
+    sets = [np.sort(x).astype(np.int64) * 7919 for x in sets if len(x) >= 18]
+    key = np.arange(len(sets)) * 1_000_003
+    batch = pa.RecordBatch.from_pydict({"set_key": key, "salt": np.zeros(len(sets), np.int64), "w": pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))})
+    with_bits = next(neardup._with_bits(iter([batch]))).append_column("n", pa.array([len(x) for x in sets], pa.int32()))
+    words = [set(x.tolist()) for x in sets]
+    want = {(key[i], key[j]) for i in range(len(words)) for j in range(i + 1, len(words)) if 4 * len(words[i] & words[j]) >= 3 * len(words[i] | words[j])}
+    for parts in ({}, {(0, c): 2 + c % 3 for c in range(14)}):
+        dealt = pa.Table.from_batches(neardup.in_blocks(parts)(iter([with_bits])))
+        met = [neardup._met(dealt.filter(pa.array(dealt["pair"].to_numpy() == p))) for p in dealt["pair"].unique().to_pylist()]
+        got = [(x, y) for t in met for x, y in zip(t["key_a"].to_pylist(), t["key_b"].to_pylist(), strict=True)]
+        assert len(want) > 100 and want <= set(got) and len(got) == len(set(got))
+
+
 def test_register_estimate():
     r = np.random.default_rng(1)
     pool = r.integers(0, 2**63, 4000).astype(np.uint64)
