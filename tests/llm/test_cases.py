@@ -182,6 +182,12 @@ def test_pairs(memory):
     assert 3 not in {r.id for r in pairs.pair_defects(df.withColumn("status", F.lit("confirmed"))).collect()}
 
 
+def test_pairs_of_copies(memory):
+    # a cut translation stored again and again stays cut; as a notice it would be residue and have no defect
+    rows = [(i, DE, "The lamp is dry in winter. Why is the") for i in range(12)] + [(20, DE, EN)]
+    assert {tuple(r) for r in pairs.pair_defects(memory(*rows)).collect()} == {(i, "truncated") for i in range(12)}
+
+
 def test_automaton():
     a = pairs.SuffixAutomaton("a b a b c".split())
     assert a.covered("x a b c y a b".split(), 2) == 5 and a.covered([], 2) == 0
